@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 
-_MODULES = (exact_dedup,)
+_MODULES = (exact_dedup, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
