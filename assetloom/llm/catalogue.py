@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, simhash
 
-_MODULES = (exact_dedup, simhash)
+_MODULES = (packing, exact_dedup, bpe, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
