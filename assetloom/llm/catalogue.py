@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, hilbert, licences, packing, simhash
 
-_MODULES = (packing, exact_dedup, bpe, simhash)
+_MODULES = (packing, exact_dedup, licences, bpe, hilbert, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
