@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, hilbert, licences, packing, quality, simhash
+from . import balltree, bpe, exact_dedup, hilbert, licences, packing, quality, simhash
 
-_MODULES = (packing, exact_dedup, licences, quality, bpe, hilbert, simhash)
+_MODULES = (packing, exact_dedup, licences, quality, bpe, balltree, hilbert, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
