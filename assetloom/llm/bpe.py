@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import texts
-from .wordcode import WordCoder, default_path, latin_parts, library
+from .wordcode import WordCoder, default_path, latin_words, library
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte."""
@@ -146,7 +146,7 @@ class BacktrackingBPE:
 
     def code(self, pieces: list[str]) -> list[bytes]:
         """Ids of lower-case words or raw pieces without white space, as little-endian unsigned 32-bit bytes."""
-        return [b"".join([self._code(p) for p in latin_parts(piece) or self._parts(piece)]) for piece in pieces]
+        return [b"".join([self._code(p) for p in latin_words(piece) or self._parts(piece)]) for piece in pieces]
 
     def _parts(self, piece: str) -> list[str]:
         found: list[str] = []

@@ -1,8 +1,10 @@
-"""Texts to token ids through the pieces between white space.
+"""Texts to token ids through their words.
 
-The tokenizer file's normaliser and splitter never look across white space, so a text's ids are
-those of its pieces put together.  Pieces repeat, so their ids are kept, as little-endian unsigned
-32-bit bytes: the ids of a text are then one join.
+The tokenizer file's normaliser never looks across white space, and its splitter cuts a text into
+words that are coded each on its own; so a text's ids are those of its words put together.  Words
+repeat, so their ids are kept, as little-endian unsigned 32-bit bytes: the ids of a text are then
+one join.  Texts of Latin-1 characters, which normalising only lower-cases, are cut here; of
+others, the pieces between white space go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -19,27 +21,32 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[^{SPACE}]+")
 #: Characters that str.split() splits at, though they are no white space here.
 _EXTRA = "\x1c\x1d\x1e\x1f"
-#: What is kept at most: pieces, words, and the longest of either.  Beyond, they are coded anew: memory, not results, depends on these.
-KEPT_PIECES, KEPT_WORDS, KEPT_LENGTH = 300_000, 500_000, 200
+#: Words kept at most, and the longest kept.  Beyond, they are coded anew: memory, not results, depends on these.
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 200
 #: Characters of text that are coded together.
 TOGETHER = 1_000_000
-#: The file's pattern for lower-case Latin-1 text without white space.
-_LATIN = "a-zªµºß-öø-ÿ"
-_NUMBER = "0-9²³¹¼½¾"
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[{_NUMBER}]|[^{_LATIN}{_NUMBER}]+")
+#: The file's pattern for lower-case Latin-1 text.
+_LETTERS, _NUMBERS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_WORDS = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_BLANKS}]+")
 
 
-def latin_parts(piece: str) -> list[str] | None:
-    """The words of a piece of Latin-1 characters, which normalising only lower-cases; None for others.
-
-    What may hold a special token ("<|") is left to the tokenizer too.
-    """
-    if not piece.isascii():
+def latin_words(text: str) -> list[str] | None:
+    """The words of a text of Latin-1 characters; None for others and for what may hold a special token ("<|")."""
+    if not text.isascii():
         try:
-            piece.encode("latin-1")
+            text.encode("latin-1")
         except UnicodeEncodeError:
             return None
-    return None if "<|" in piece else _PARTS.findall(piece.lower())
+    return None if "<|" in text else _WORDS.findall(text.lower())
+
+
+def words_of(text: str) -> list[str]:
+    """The words of any text: lower-case, or as they stand where they aren't Latin-1."""
+    words = latin_words(text)
+    if words is None:
+        pieces = text.split() if not any(c in text for c in _EXTRA) else _SPLIT.findall(text)
+        words = [w for p in pieces for w in (latin_words(p) or [p])]
+    return words
 
 
 def default_path() -> str:
@@ -77,13 +84,13 @@ class WordCoder:
     """``code`` maps lower-case words, or raw pieces that aren't Latin-1, to their ids' bytes."""
 
     def __init__(self, code: Callable[[list[str]], list[bytes]]) -> None:
-        self.code, self.pieces, self.words = code, {}, {}
+        self.code, self.kept = code, {}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each whole text, as little-endian unsigned 32-bit bytes."""
         held, size = [], 0
         for t in texts:
-            held.append(t.split() if not any(c in t for c in _EXTRA) else _SPLIT.findall(t))
+            held.append(words_of(t))
             size += len(t)
             if size > TOGETHER:
                 yield from self._coded(held)
@@ -91,21 +98,17 @@ class WordCoder:
         yield from self._coded(held)
 
     def _coded(self, held: list[list[str]]) -> list[bytes]:
-        pieces, words = self.pieces, self.words
-        new = [p for p in set().union(*held) if p not in pieces]
-        parts = {p: latin_parts(p) or [p] for p in new}
-        unknown = list({w for group in parts.values() for w in group if w not in words})
-        words.update(zip(unknown, self.code(unknown), strict=True))
-        for p, group in parts.items():
-            pieces[p] = words[group[0]] if len(group) == 1 else b"".join([words[w] for w in group])
-        out = [b"".join([pieces[p] for p in group]) for group in held]
-        for kept, added, most in ((pieces, new, KEPT_PIECES), (words, unknown, KEPT_WORDS)):
-            if len(kept) > most:
-                kept.clear()
-            else:
-                for x in added:
-                    if len(x) > KEPT_LENGTH:
-                        del kept[x]
+        kept = self.kept
+        new = list({w for group in held for w in group if w not in kept})
+        kept.update(zip(new, self.code(new), strict=True))
+        of = kept.__getitem__
+        out = [b"".join(map(of, group)) for group in held]
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
+        elif max(map(len, new), default=0) > KEPT_LENGTH:
+            for w in new:
+                if len(w) > KEPT_LENGTH:
+                    del kept[w]
         return out
 
 
