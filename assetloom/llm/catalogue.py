@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import balltree, bpe, exact_dedup, hilbert, licences, packing, quality, simhash, warc
+from . import attribution, balltree, bpe, exact_dedup, hilbert, licences, packing, quality, simhash, warc
 
-_MODULES = (packing, exact_dedup, warc, licences, quality, bpe, balltree, hilbert, simhash)
+_MODULES = (packing, exact_dedup, warc, attribution, licences, quality, bpe, balltree, hilbert, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

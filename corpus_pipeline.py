@@ -1,11 +1,49 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: reject, deduplicate, pack.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all the rows it is given, and returns a DataFrame;
+all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from assetloom.llm.exact_dedup import exact_dedup
+from assetloom.llm.packing import pack_documents
+from assetloom.llm.quality import keep_good
+from assetloom.llm.shared import written
+from assetloom.llm.simhash import keep_one
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the discriminant, learned from the labelled ones among them, doesn't reject."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id."""
+    return exact_dedup(docs)[1]
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the row with the smallest doc_id."""
+    return keep_one(docs)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, in sequences of at most 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("simhash near-dedup", near_stage), ("best-fit packing", pack_stage)]
+
+#: SQL has no tokenizer, no XXH64 and no discriminant; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written to the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
