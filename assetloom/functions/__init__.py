@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: patterns, URL rules, text decoding."""

@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators: dedup, extraction, ingest, reports, graph, plugins."""

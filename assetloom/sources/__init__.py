@@ -1 +1 @@
-"""See the package README."""
+"""What is read and written: seeds, manifests, bodies, reports, synthetic assets."""

@@ -1 +1 @@
-"""See the package README."""
+"""Manifests that arrive as a stream."""
