@@ -49,18 +49,26 @@ def _literal(token: str) -> str:
     return re.sub(r"([.@/*+?()\[\]{}|^$\\])", r"\\\1", token)
 
 
+def _wordy(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def technology(tokens: Iterable[str]) -> str:
-    """Java: any token between word boundaries."""
-    edge = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
-    return f"(?iu){edge}(?:{'|'.join(map(_literal, tokens))}){edge}"
+    """Java: any token between word boundaries. Next to a token's own first or last character a boundary is one look at the neighbour."""
+    ways = []
+    for first in (True, False):
+        for last in (True, False):
+            own = [_literal(t) for t in tokens if (_wordy(t[0]), _wordy(t[-1])) == (first, last)]
+            if own:
+                ways.append(f"(?<{'!' if first else '='}[{WORD}])(?:{'|'.join(own)})(?{'!' if last else '='}[{WORD}])")
+    return "(?iu)" + "|".join(ways)
 
 
 def re2_technology(tokens: Iterable[str]) -> str:
     """RE2 has no look-around: the neighbours are consumed, one alternative a token."""
-    wordy = lambda c: c.isalnum() or c == "_"
     ways = []
     for t in tokens:
-        before = f"(?:^|[^{WORD}])" if wordy(t[0]) else f"[{WORD}]"
-        after = f"(?:[^{WORD}]|$)" if wordy(t[-1]) else f"[{WORD}]"
+        before = f"(?:^|[^{WORD}])" if _wordy(t[0]) else f"[{WORD}]"
+        after = f"(?:[^{WORD}]|$)" if _wordy(t[-1]) else f"[{WORD}]"
         ways.append(before + _literal(t) + after)
     return "(?i)" + "|".join(ways)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,8 +54,21 @@ def _listed(pattern: str, group: int, kind: str | None, sign: str | None) -> Cal
 
 
 def _technologies(text: Column) -> Column:
-    hits = [F.when(text.rlike(patterns.technology(tokens)), _item(F.lit(name), None, "signature match")) for name, tokens in patterns.TECHNOLOGIES.items()]
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+    """Patterns are tried only where a token's letters occur in the folded text, which is bound once.
+
+    Folding goes by upper and lower case, and takes the dotted capital I as i, as the patterns'
+    case-insensitivity does, so it hides no match.
+    """
+
+    def hits(folded: Column) -> Column:
+        found = []
+        for name, tokens in patterns.TECHNOLOGIES.items():
+            near = reduce(lambda a, b: a | b, [folded.contains(t.lower()) for t in tokens])
+            found.append(F.when(near & text.rlike(patterns.technology(tokens)), _item(F.lit(name), None, "signature match")))
+        return F.filter(F.array(*found), lambda h: h.isNotNull())
+
+    folded = F.lower(F.upper(F.translate(text, "\u0130", "i")))
+    return F.flatten(F.transform(F.array(folded), hits))
 
 
 #: In order of id, which is the order of execution.

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import configure
-from . import relational, web
+from . import relational, stream, web
 
-_MODULES = (web, relational)
+_MODULES = (web, relational, stream)
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -30,13 +30,13 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "sql_join_using": "SELECT l_returnflag, count(*) AS n FROM lineitem JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_totalprice > 100000) o USING (l_orderkey) GROUP BY l_returnflag",
     "sql_join_cross": "SELECT a.r_name AS one, b.r_name AS other FROM region a CROSS JOIN region b",
     "sql_join_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
-    "sql_join_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "sql_join_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_custkey IS NOT NULL)",
     "sql_join_theta": "SELECT a.n_name AS low, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey GROUP BY a.n_name",
     "sql_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "sql_agg_basic": f"SELECT l_returnflag, l_linestatus, count(*) AS n, {_sum('l_quantity', 'quantity')}, {_sum('l_extendedprice', 'price')}, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "sql_agg_having": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5",
     "sql_agg_distinct": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag",
-    "sql_agg_filter": "SELECT event_type, count(*) FILTER (WHERE value > 0.5) AS high, count(*) AS n FROM events GROUP BY event_type",
+    "sql_agg_filter": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(*) AS n FROM events GROUP BY event_type",
     "sql_agg_concat": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "sql_agg_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "sql_agg_rollup": "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
@@ -55,7 +55,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "sql_values": ("SELECT col1 AS a, col2 AS b FROM VALUES (1, 'x'), (2, 'y'), (3, NULL)", "SELECT * FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS v(a, b)"),
     "sql_case_between": "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size IN (11, 12, 13) THEN 'odd' ELSE 'large' END AS size_class FROM part",
     "sql_string": "SELECT c_custkey, upper(substr(c_name, 1, 4)) AS head, length(c_name) AS n, replace(c_name, '#', '-') AS plain, trim(c_mktsegment) || '!' AS seg, instr(c_name, '#') AS at FROM customer",
-    "sql_like": ("SELECT p_partkey FROM part WHERE p_type ILIKE '%steel%' AND p_brand RLIKE '^Brand#[12]'", "SELECT p_partkey FROM part WHERE p_type ILIKE '%steel%' AND regexp_matches(p_brand, '^Brand#[12]')"),
+    "sql_like": ("SELECT p_partkey FROM part WHERE p_type ILIKE '%promo%' AND p_brand RLIKE '^Brand#[12]'", "SELECT p_partkey FROM part WHERE p_type ILIKE '%promo%' AND regexp_matches(p_brand, '^Brand#[12]')"),
     "sql_date": ("SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM') AS month, year(o_orderdate) AS y, datediff(DATE '1999-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS INTEGER) AS days FROM orders"),
     "sql_math": ("SELECT p_partkey, abs(p_size - 25) AS d, round(p_retailprice, 1) AS r, p_size div 7 AS q, p_size % 7 AS m, greatest(p_size, 20) AS g, try_divide(p_size, p_size % 2) AS t FROM part", "SELECT p_partkey, abs(p_size - 25) AS d, round(p_retailprice, 1) AS r, CAST(p_size // 7 AS BIGINT) AS q, p_size % 7 AS m, greatest(p_size, 20) AS g, CASE WHEN p_size % 2 <> 0 THEN CAST(p_size AS DOUBLE) / (p_size % 2) END AS t FROM part"),
     "sql_json": ("SELECT event_id, json_array_length(concat('[', props, ']')) AS n, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, CAST(json_array_length('[' || props || ']') AS INTEGER) AS n, json_extract_string(props, '$.k') AS k FROM events"),

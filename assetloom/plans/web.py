@@ -57,9 +57,9 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.eligible(manifest(spark, sf_dir))
 
 
-def _findings(report: str, *fields) -> Query:
+def _findings(report: str, *fields: str) -> Query:
     analyzer = [a for a in extract.ANALYZERS if a.report == report]
-    return lambda spark, d: extract.findings(scripts(spark, d), analyzer).select("asset_url", *fields)
+    return lambda spark, d: extract.findings(scripts(spark, d), analyzer).selectExpr("asset_url", *fields)
 
 
 # ---- queries -----------------------------------------------------------------------------------
@@ -126,13 +126,20 @@ _EMPTY_TABLES = {n: ddl for n, ddl in {
 }.items()}
 
 
-def _scan(spark, d, which: str, status) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """One scan of part of the assets: its manifest and reports."""
+def _entries(spark, d, which: str, status) -> DataFrame:
+    """The manifest of a scan of part of the assets."""
     m = manifest(spark, d).filter(which)
-    entries = m.select("ordinal", F.col("asset_url").alias("url"), "type", F.when(F.col("ordinal") % 2 == 0, F.col("local_path")).alias("local_path"), F.sha2("source", 256).alias("sha256"), F.octet_length("source").cast("bigint").alias("size_bytes"), F.lit(None).cast("string").alias("mime_type"), status.alias("status"))
-    f = extract.findings(extract.eligible(m)).withColumn("ordinal", F.shiftleft("ordinal", 16) + F.col("position"))
+    return m.select("ordinal", F.col("asset_url").alias("url"), "type", F.when(F.col("ordinal") % 2 == 0, F.col("local_path")).alias("local_path"), F.sha2("source", 256).alias("sha256"), F.octet_length("source").cast("bigint").alias("size_bytes"), F.lit(None).cast("string").alias("mime_type"), status.alias("status"))
+
+
+def _reports(spark, d, which: str) -> dict[str, DataFrame]:
+    """The reports of a scan of part of the assets."""
+    m = manifest(spark, d).filter(which)
+    found = extract.findings(extract.eligible(m)).withColumn("ordinal", F.shiftleft("ordinal", 16) + F.col("position"))
+    # As in a scan, findings are stored once and read by report.
+    f = ingest.snapshots(scratch(spark, "reports"))("findings", found)
     own = lambda name, field, *more: f.filter(F.col("report") == name).select("asset_url", F.col("value").alias(field), *more, "ordinal")
-    return entries, {"urls": own("urls", "url", "kind"), "websocket": own("websocket", "url", "kind"), "endpoints": own("endpoints", "endpoint", "kind"), "frameworks": own("frameworks", "technology", "evidence")}
+    return {"urls": own("urls", "url", "kind"), "websocket": own("websocket", "url", "kind"), "endpoints": own("endpoints", "endpoint", "kind"), "frameworks": own("frameworks", "technology", "evidence")}
 
 
 def ingested(spark, d, needed: tuple[str, ...]) -> dict[str, DataFrame]:
@@ -143,15 +150,15 @@ def ingested(spark, d, needed: tuple[str, ...]) -> dict[str, DataFrame]:
     tables = {n: spark.createDataFrame([], ddl) for n, ddl in _EMPTY_TABLES.items()}
     for day, (which, status) in enumerate((("ordinal % 3 <> 1", F.col("status")), ("ordinal % 3 <> 0", F.lit("rescanned")))):
         keep = ingest.snapshots(scratch(spark, "ingest"))
-        tables = ingest.ingest(tables, *_scan(spark, d, which, status), F.timestamp_seconds(F.lit(86_400 * day)), lambda n, df, keep=keep: keep(n, df) if n in ("assets", *needed) else df)
+        tables = ingest.ingest(tables, _entries(spark, d, which, status), _reports(spark, d, which), F.timestamp_seconds(F.lit(86_400 * day)), lambda n, df, keep=keep: keep(n, df) if n in ("assets", *needed) else df)
     return tables
 
 
 def upsert_assets(spark, d):
     now = F.timestamp_seconds(F.lit(0))
     empty = spark.createDataFrame([], _EMPTY_TABLES["assets"])
-    first = ingest.upsert_assets(empty, _scan(spark, d, "ordinal % 3 <> 1", F.col("status"))[0], now)
-    both = ingest.upsert_assets(first, _scan(spark, d, "ordinal % 3 <> 0", F.lit("rescanned"))[0], F.timestamp_seconds(F.lit(86_400)))
+    first = ingest.upsert_assets(empty, _entries(spark, d, "ordinal % 3 <> 1", F.col("status")), now)
+    both = ingest.upsert_assets(first, _entries(spark, d, "ordinal % 3 <> 0", F.lit("rescanned")), F.timestamp_seconds(F.lit(86_400)))
     return both.select("id", "url", "local_path", "asset_type", "sha256", "size_bytes", "mime_type", "status", F.unix_seconds("discovered_at").alias("discovered_s"))
 
 
@@ -267,8 +274,8 @@ _PLUGIN_SQL = "WITH RECURSIVE p(id, needs) AS (VALUES " + ", ".join(f"('{i}', {n
 
 def scan_diff(spark, d):
     """New beside the reference operators: what changed between two scans, by a full outer join."""
-    old = _scan(spark, d, "ordinal % 3 <> 1", F.col("status"))[0].select("url", F.col("status").alias("old"))
-    new = _scan(spark, d, "ordinal % 3 <> 0", F.lit("rescanned"))[0].select("url", F.col("status").alias("new"))
+    old = _entries(spark, d, "ordinal % 3 <> 1", F.col("status")).select("url", F.col("status").alias("old"))
+    new = _entries(spark, d, "ordinal % 3 <> 0", F.lit("rescanned")).select("url", F.col("status").alias("new"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("same")
     return old.join(new, "url", "full").select("url", change.alias("change"))
 
@@ -282,11 +289,11 @@ QUERIES: dict[str, Query] = {
     "safe_names": safe_names,
     "integrity": integrity,
     "mime_guess": mime_guess,
-    "extract_endpoints": _findings("endpoints", F.col("value").alias("endpoint"), "kind"),
-    "extract_imports": _findings("imports", F.col("value").alias("module")),
-    "extract_urls": _findings("urls", F.col("value").alias("url"), "kind"),
-    "extract_websockets": _findings("websocket", F.col("value").alias("url"), "kind"),
-    "detect_frameworks": _findings("frameworks", F.col("value").alias("technology"), "evidence"),
+    "extract_endpoints": _findings("endpoints", "value AS endpoint", "kind"),
+    "extract_imports": _findings("imports", "value AS module"),
+    "extract_urls": _findings("urls", "value AS url", "kind"),
+    "extract_websockets": _findings("websocket", "value AS url", "kind"),
+    "detect_frameworks": _findings("frameworks", "value AS technology", "evidence"),
     "finding_counts": finding_counts,
     "page_links": page_links,
     "error_rows": error_rows,

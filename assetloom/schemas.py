@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(fields: str) -> StructType:
+    """From ``name type, ...``, without a running session."""
+    return StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(", "))])
 
 
 MANIFEST = _schema("url string, type string, local_path string, sha256 string, size_bytes bigint, mime_type string, status string, error string")
