@@ -25,7 +25,7 @@ from .shared import texts
 #: The library's splitter recurses on white space, so longer runs of it are coded as the one word they are.
 LONG_BLANK = 2_000
 #: Unicode White_Space, what the splitter's pattern takes for white space.
-_BLANK = "\t-\r \x85\xa0  -     　"
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_BLANK}]{{{LONG_BLANK},}}")
 
 SECTION = T.StructType([T.StructField(n, t) for n, t in (("section", T.IntegerType()), ("start_byte", T.LongType()), ("end_byte", T.LongType()), ("n_tokens", T.LongType()), ("n_crossing", T.LongType()))])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import batch, col, texts, written
+from .shared import batch, col, each_text, written
 from .wordcode import default_path, library_words
 
 CAPACITY = 2048
@@ -90,8 +90,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, columns = library_words(path), [[], [], [], [], []]
         for b in batches:
-            keys, bodies = b.column(0).to_pylist(), texts(b.column(1))
-            for k, ids in zip(keys, words.encode(bodies), strict=True):
+            for k, ids in zip(b.column(0).to_pylist(), words.encode(each_text([b.column(1)])), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

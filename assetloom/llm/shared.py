@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +91,13 @@ def raw(array: pa.Array) -> list[bytes]:
     return [b or b"" for b in array.to_pylist()]
 
 
+def each_text(batches: Iterable[pa.Array], rows: int = 256) -> Iterator[str]:
+    """The strings of Arrow columns, decoded a few rows at a time."""
+    for a in batches:
+        for at in range(0, len(a), rows):
+            yield from texts(a.slice(at, rows))
+
+
 def squeeze(text: bytes) -> bytes:
     """Replace each run of ASCII white space by one space; a run at an end stays as one space."""
     words = text.split()
