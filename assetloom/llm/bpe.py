@@ -19,12 +19,11 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import texts
+from .shared import each_text
 from .wordcode import WordCoder, default_path, latin_words, library
 
 def byte_letters() -> dict[int, str]:
@@ -66,8 +65,8 @@ class BacktrackingBPE:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.parts = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.normaliser = library(path).normalizer
+        self.normaliser, self.splitter = library(path).normalizer, library(path).pre_tokenizer
+        self.byte_of = {c: b for b, c in letter.items()}
         names = {i: t for t, i in (vocab | self.special).items()}
         self.text_of = OffsetTable([names.get(i, "").encode() for i in range(max(names) + 1)])
         self.digits_of = OffsetTable([str(i).encode() for i in range(max(names) + 1)])
@@ -146,21 +145,25 @@ class BacktrackingBPE:
 
     def code(self, pieces: list[str]) -> list[bytes]:
         """Ids of lower-case words or raw pieces without white space, as little-endian unsigned 32-bit bytes."""
-        return [b"".join([self._code(p) for p in latin_words(piece) or self._parts(piece)]) for piece in pieces]
+        out = []
+        for piece in pieces:
+            words = latin_words(piece)
+            out.append(b"".join([self._code(w.encode()) for w in words] if words else self._raw(piece)))
+        return out
 
-    def _parts(self, piece: str) -> list[str]:
-        found: list[str] = []
+    def _raw(self, piece: str) -> Iterator[bytes]:
+        """Ids of a piece that isn't Latin-1 or may hold special tokens.
+
+        Normalised and split by the file's own normaliser and splitter, whose Unicode tables are older than Python's.
+        """
         for i, run in enumerate(self.specials.split(piece) if self.specials else [piece]):
             if i % 2:
-                found.append(run)
+                yield self.special[run].to_bytes(4, "little")
             elif run:
-                found += self.parts.findall(self.normaliser.normalize_str(run))
-        return found
+                for word, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(run)):
+                    yield self._code(bytes([self.byte_of[c] for c in word]))
 
-    def _code(self, part: str) -> bytes:
-        if part in self.special:
-            return self.special[part].to_bytes(4, "little")
-        data = part.encode()
+    def _code(self, data: bytes) -> bytes:
         word = data[:-1].decode("latin-1") + chr(data[-1] + (256 if self.suffix else 0))
         return np.array(self.word(word), "<u4").tobytes()
 
@@ -206,7 +209,7 @@ def encoded(text: Column, path: str | None = None) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         _, words = backtracking(path)
         for a in batches:
-            yield _lists(list(words.encode(texts(a))))
+            yield _lists(list(words.encode(each_text([a]))))
 
     return of(text)
 
@@ -239,7 +242,7 @@ def digests(text: Column, path: str | None = None) -> Column:
         bpe, words = backtracking(path)
         for a in batches:
             n, of_ids, of_text = [], [], []
-            for coded in words.encode(texts(a)):
+            for coded in words.encode(each_text([a])):
                 ids = np.frombuffer(coded, "<u4").astype(np.int64)
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(bpe.digits_of.join(ids)).hexdigest())
