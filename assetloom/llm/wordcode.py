@@ -22,7 +22,7 @@ _SPLIT = re.compile(f"[^{SPACE}]+")
 #: Characters that str.split() splits at, though they are no white space here.
 _EXTRA = "\x1c\x1d\x1e\x1f"
 #: Words kept at most, and the longest kept.  Beyond, they are coded anew: memory, not results, depends on these.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 200
+KEPT_WORDS, KEPT_LENGTH = 800_000, 200
 #: Characters of text that are coded together.
 TOGETHER = 1_000_000
 #: The file's pattern for lower-case Latin-1 text.
