@@ -56,8 +56,8 @@ def _listed(pattern: str, group: int, kind: str | None, sign: str | None) -> Cal
 def _technologies(text: Column) -> Column:
     """Patterns are tried only where a token's letters occur in the folded text, which is bound once.
 
-    Folding goes by upper and lower case, and takes the dotted capital I as i, as the patterns'
-    case-insensitivity does, so it hides no match.
+    Folding takes the four letters outside ASCII that the patterns' case-insensitivity takes for
+    i, s and k as these, so it hides no match.
     """
 
     def hits(folded: Column) -> Column:
@@ -67,7 +67,7 @@ def _technologies(text: Column) -> Column:
             found.append(F.when(near & text.rlike(patterns.technology(tokens)), _item(F.lit(name), None, "signature match")))
         return F.filter(F.array(*found), lambda h: h.isNotNull())
 
-    folded = F.lower(F.upper(F.translate(text, "\u0130", "i")))
+    folded = F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
     return F.flatten(F.transform(F.array(folded), hits))
 
 

@@ -50,22 +50,32 @@ def glob_to_regex(pattern: str) -> str:
     return out + "$"
 
 
+#: Nodes of a parsed query. Whatever else a plan holds (commands, scripts, procedures) is refused.
+_READS = frozenset(
+    "Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation PipeOperator Pivot Project RepartitionByExpression Sample Sort SubqueryAlias Tail Union Unpivot UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation "
+    "UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedWith Window WithWindowDefinition CTERelationDef".split()
+)
+#: Functions that run code of the caller's choice.
+_CALLS = re.compile(r"(?i)\b(?:try_)?(?:reflect|java_method)\s*\(")
+
+
 def query(spark: SparkSession, text: str) -> DataFrame:
     """The rows of one read-only statement; any other is a ValueError and does nothing."""
     configure(spark)
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if _writes(plan):
+    if _CALLS.search(text) or not _reads_only(plan):
         raise ValueError("only a SELECT is allowed")
     return spark.sql(text)
 
 
-def _writes(plan) -> bool:
-    """Whether a parsed plan is, or holds, anything but a query."""
-    name = plan.getClass().getName()
-    if re.search(r"\.(plans\.logical\.)?(\w*Command|\w*Statement|Insert\w*|Create\w*|Drop\w*|Alter\w*|Replace\w*|Delete\w*|Update\w*|Merge\w*|Truncate\w*|Cache\w*|Uncache\w*|Refresh\w*|Set\w*|Add\w*|Rename\w*|Load\w*|Repair\w*|Recover\w*|Call|CompoundBody|ExecuteImmediate\w*|Describe\w*|Show\w*|Analyze\w*|Explain\w*|Use\w*)$", name):
-        return True
-    children = plan.children()
-    return any(_writes(children.apply(i)) for i in range(children.size()))
+def _reads_only(plan) -> bool:
+    """Whether a parsed plan, its named queries and its subqueries are nothing but queries."""
+    if plan.getClass().getSimpleName() not in _READS:
+        return False
+    below = [plan.children(), plan.subqueries()]
+    if plan.getClass().getSimpleName() == "UnresolvedWith":
+        below.append(plan.innerChildren())
+    return all(_reads_only(c.apply(i)) for c in below for i in range(c.size()))
 
 
 def query_lines(spark: SparkSession, text: str) -> DataFrame:
