@@ -1,0 +1,109 @@
+import os
+import re
+
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from assetloom.llm import catalogue
+from assetloom.llm.exact_dedup import exact_dedup
+from assetloom.llm.simhash import near_duplicates
+from assetloom.llm.wordcode import default_path, library
+
+DATA = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+def test_every_operator_is_registered():
+    names = catalogue.queries()
+    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and len(names) == 11
+    assert set(names) <= set(__spark_entry__.queries()) and set(catalogue.oracle_sql()) <= set(names)
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = catalogue.queries()[name](spark, DATA)
+    columns = sorted(df.columns)
+    found = con.sql(catalogue.oracle_sql()[name])
+    at = [found.columns.index(c) for c in columns]
+    assert len(found.columns) == len(columns)
+    assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[i] for i in at]) for r in found.fetchall())
+
+
+@needs_data
+def test_the_other_queries_return_every_row(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    for name in ("op6_quality", "op7_bpe", "op9_hilbert", "op10_simhash"):
+        df = catalogue.queries()[name](spark, DATA)
+        assert df.select("doc_id").distinct().count() == df.count() == docs
+    for name in ("op1_packing", "op4_section_tokens"):
+        assert catalogue.queries()[name](spark, DATA).select("doc_id").distinct().count() == docs
+
+
+@pytest.fixture
+def folder(spark, odd, tmp_path):
+    """Odd rows as documents; labels mark prose good and a few rows bad."""
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1) for i in range(25)] + [(i, 1) for i in range(100, 112)] + [(i, 0) for i in range(300, 312)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_stages_match_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "simhash near-dedup", "best-fit packing"]
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    good = stages[0](spark, docs, folder)
+    assert good.columns == columns
+    good.write.parquet(f"{folder}/good")
+    good = spark.read.parquet(f"{folder}/good")
+    rows = good.collect()
+    assert 0 < len(rows) < docs.count() and {r.doc_id for r in rows} >= {i for i in range(25)}
+    unique = stages[1](spark, good, folder)
+    normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    first = {}
+    for r in rows:
+        first.setdefault(normal(r.text), []).append(r.doc_id)
+    assert unique.columns == columns
+    unique.write.parquet(f"{folder}/unique")
+    unique = spark.read.parquet(f"{folder}/unique")
+    assert sorted(str(r.doc_id) for r in unique.collect()) == sorted(str(min((d for d in v if d is not None), default=None)) for v in first.values())
+    single = stages[2](spark, unique, folder)
+    assert single.columns == columns
+    single.write.parquet(f"{folder}/single")
+    single = spark.read.parquet(f"{folder}/single")
+    assert single.count() == near_duplicates(unique).select("component").distinct().count()
+    pieces = stages[3](spark, single, folder).collect()
+    tokens = sum(len(library(default_path()).encode(r.text or "", add_special_tokens=False).ids) + 1 for r in single.collect())
+    assert sum(p.length for p in pieces) == tokens
+    whole = corpus_pipeline.run(spark, folder).collect()
+    key = lambda ps: sorted((str(p.doc_id), p.piece, p.start, p.length, p.ids_crc32) for p in ps)
+    assert key(whole) == key(pieces)
+
+
+def test_stages_take_empty_documents(spark, none, folder):
+    docs = none.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+
+
+def test_planted_copies_and_near_copies_go_and_clean_rows_stay(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(500)]
+    prose = [" ".join(rng.choice(words, 600)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(prose)]
+    rows += [(100 + i, t.replace(" ", "\n", 5)) for i, t in enumerate(prose[:10])]
+    rows += [(200 + i, t + " " + words[0]) for i, t in enumerate(prose[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flags, kept = exact_dedup(docs)
+    assert {r.key for r in flags.filter("NOT kept").collect()} == {100 + i for i in range(10)}
+    left = corpus_pipeline.near_stage(spark, kept, "")
+    assert {r.doc_id for r in left.collect()} == set(range(30))
