@@ -44,15 +44,22 @@ class Forest:
         return both[:, 0], both[:, 1]
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One star round over (u, v), u > v: neighbours are hung onto the smallest of them."""
-    if small:
-        lows = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(lows, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return lows.select("u", F.col("m").alias("v")).unionByName(hung)
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Over (u, v), u > v: each upper end is hung onto the smallest node around its lower end.
+
+    Only nodes with a smaller neighbour are looked up, and the look-up table is written first: the
+    join then has an exchange of its own on both sides, so the edges of a hub can be split.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(lows, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lows = written(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").select(F.col("u").alias("v"), "m"), "lows")
+    return edges.join(lows, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Over (u, v), u > v: the lower neighbours of each node, and it itself, are hung onto the smallest of them."""
+    lows = written(edges.groupBy("u").agg(F.min("v").alias("m")), "lows")
+    hung = edges.join(lows, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return lows.select("u", F.col("m").alias("v")).unionByName(hung)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = written(now, "edges"), None
     while True:
-        now = written(_star(_star(now, small=False), small=True).distinct(), "edges")
+        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -134,7 +134,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     classes = slim.groupBy("fp").agg(F.min("key").alias("low"))
     roots = components(links(classes.select("fp"), bits))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("component"))
-    lows = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
+    # Written, so that the join has an exchange of its own on both sides and a large component can be split.
+    lows = written(rooted.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lows")
     labels = rooted.join(lows, "component").select("fp", "component", "component_id")
     return slim.join(labels, "fp")
 
