@@ -30,8 +30,8 @@ def url_lines(texts: DataFrame, text: str = "value") -> DataFrame:
 
     Several files follow one another in the order they are read; ordinals grow but may leave gaps.
     """
-    lines = texts.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split(F.col(text), LINE_BREAK, -1)).alias("at", "line"))
-    return lines.select(F.shiftleft("file", 24).bitwiseOR(F.col("at").cast("long")).alias("ordinal"), strip(F.col("line")).alias("url"))
+    lines = texts.select(F.explode(F.split(F.col(text), LINE_BREAK, -1)).alias("line"))
+    return lines.select(F.monotonically_increasing_id().alias("ordinal"), strip(F.col("line")).alias("url"))
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +53,10 @@ def parse_manifest(texts: DataFrame, text: str = "value", schema: StructType = M
         .when(~body.startswith("["), F.raise_error(F.lit("Asset manifest must be a JSON array")))
         .otherwise(parsed)
     )
-    entries = texts.select(F.monotonically_increasing_id().alias("file"), F.posexplode(checked).alias("at", "entry"))
+    entries = texts.select(F.explode(checked).alias("entry"))
     url = F.when(F.col("entry").isNull(), F.raise_error(F.lit("Each asset manifest entry must be an object"))).when(F.col("entry.url").isNull(), F.raise_error(F.lit("An asset manifest entry has no url"))).otherwise(F.col("entry.url"))
     rest = [F.col(f"entry.{f.name}").alias(f.name) for f in schema if f.name != "url"]
-    return entries.select(F.shiftleft("file", 32).bitwiseOR(F.col("at").cast("long")).alias("ordinal"), url.alias("url"), *rest)
+    return entries.select(F.monotonically_increasing_id().alias("ordinal"), url.alias("url"), *rest)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -73,6 +73,16 @@ def test_seeds_and_url_lists(spark, tmp_path):
     assert [r.url for r in readers.url_list(spark, str(tmp_path / "urls.txt")).orderBy("ordinal").collect()] == ["http://a/1.js", "http://b", "https://c", "http://a/1.js", "http://d"]
 
 
+def test_ordinals_of_many_files_are_unique_and_in_order(spark):
+    texts = spark.createDataFrame([(f"http://{i}/a\nhttp://{i}/b",) for i in range(400)], "value string").repartition(200)
+    rows = readers.url_lines(texts).orderBy("ordinal").collect()
+    assert len({r.ordinal for r in rows}) == 800 and all(r.ordinal >= 0 for r in rows)
+    assert all(x.url[:-1] == y.url[:-1] and x.url < y.url for x, y in zip(rows[::2], rows[1::2], strict=True))
+    many = spark.createDataFrame([(f'[{{"url": "{i}a"}}, {{"url": "{i}b"}}]',) for i in range(100)], "value string").repartition(80)
+    rows = readers.parse_manifest(many).orderBy("ordinal").collect()
+    assert len({r.ordinal for r in rows}) == 200 and all(x.url[:-1] == y.url[:-1] for x, y in zip(rows[::2], rows[1::2], strict=True))
+
+
 def test_first_seen_and_dense_positions(spark):
     df = spark.createDataFrame([(5, "x"), (3 << 20, "y"), (9, "x"), (7 << 33, "z"), (4, "w")], "ordinal long, url string")
     assert sorted(map(tuple, first_seen(df).collect())) == [(0, "w"), (1, "x"), (2, "y"), (3, "z")]
