@@ -6,11 +6,12 @@ category, and some of what Spark offers beyond.  Text is shared with DuckDB wher
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .adhoc import register
+from .adhoc import DRIVER_TABLES, register
 
 _MONEY = "CAST({} AS DECIMAL(18,2))"
 
@@ -65,8 +66,10 @@ TEXTS: dict[str, str | tuple[str, str]] = {
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    tables = tuple(t for t in DRIVER_TABLES if re.search(rf"\b{t}\b", text))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, tables)
         return spark.sql(text)
 
     return run

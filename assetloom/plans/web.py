@@ -230,16 +230,15 @@ def graph_edges(spark, d):
     return graph.relate(nodes, pairs.unionByName(pairs))
 
 
-def _supply(spark, d) -> DataFrame:
-    """Suppliers to parts and parts back to suppliers, from lineitem."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_partkey % 20 = 3").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), F.col("l_linenumber").cast("string").alias("evidence"))
-    there = li.select(F.lit("a").alias("scan_id"), F.col("s").alias("source_id"), F.lit("supplies").alias("relationship"), F.col("p").alias("target_id"), "evidence")
-    back = li.select(F.lit("a"), F.col("p"), F.lit("part of"), F.col("s"), "evidence").filter("evidence = '1'")
-    return there.union(back).distinct()
+def _territory(spark, d) -> DataFrame:
+    """Regions to nations, nations to customers, customers to orders: all of them."""
+    levels = (("nation", "r", "n_regionkey", "n", "n_nationkey", "has nation"), ("customer", "n", "c_nationkey", "c", "c_custkey", "has customer"), ("orders", "c", "o_custkey", "o", "o_orderkey", "has order"))
+    edges = [spark.read.parquet(f"{d}/{table}.parquet").selectExpr("'a' AS scan_id", f"concat('{s}', {source}) AS source_id", f"'{name}' AS relationship", f"concat('{t}', {target}) AS target_id", f"'{table}' AS evidence") for table, s, source, t, target, name in levels]
+    return edges[0].union(edges[1]).union(edges[2])
 
 
-_SUPPLY_SQL = """li AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS s, 'p' || CAST(l_partkey AS VARCHAR) AS p, CAST(l_linenumber AS VARCHAR) AS evidence FROM lineitem WHERE l_partkey % 20 = 3),
- edges AS (SELECT DISTINCT * FROM (SELECT s AS source_id, 'supplies' AS relationship, p AS target_id, evidence FROM li UNION ALL SELECT p, 'part of', s, evidence FROM li WHERE evidence = '1'))"""
+_TERRITORY_SQL = """edges AS (SELECT 'r' || n_regionkey AS source_id, 'has nation' AS relationship, 'n' || n_nationkey AS target_id, 'nation' AS evidence FROM nation
+ UNION ALL SELECT 'n' || c_nationkey, 'has customer', 'c' || c_custkey, 'customer' FROM customer UNION ALL SELECT 'c' || o_custkey, 'has order', 'o' || o_orderkey, 'orders' FROM orders)"""
 _CYCLE = [("a", "b"), ("a", "d"), ("b", "c"), ("d", "c"), ("c", "a")]
 
 
@@ -250,7 +249,7 @@ def _walk_sql(edges: str, start: str, depth: int) -> str:
 
 
 def _traverse(depth: int) -> Query:
-    return lambda spark, d: graph.traverse(_supply(spark, d), "a", "s3", depth)
+    return lambda spark, d: graph.traverse(_territory(spark, d), "a", "r1", depth)
 
 
 def graph_traverse_cycle(spark, d):
@@ -338,8 +337,8 @@ ORACLE_SQL: dict[str, str] = {
     "report_csv_order": f"{_UPSERT_SQL} SELECT id, asset_url AS url, type AS asset_type, last_status AS status FROM inventory",
     "graph_nodes": f"{_BASE}, e AS ({_ENDPOINT_ROWS}) SELECT id, 'scan-1' AS scan_id, 'Endpoint' AS node_type, {_ENDPOINT_KEY} AS key_hash, 'later-' || id AS latest_id FROM e UNION ALL SELECT sha256(asset_url), 'scan-1', 'JavaScriptAsset', {_ASSET_KEY}, sha256(asset_url) FROM assets WHERE {_ELIGIBLE}",
     "graph_edges": f"{_BASE}, e AS ({_ENDPOINT_ROWS}) SELECT 'scan-1' AS scan_id, asset_id AS source_id, 'reaches' AS relationship, id AS target_id, '' AS evidence FROM e",
-    "graph_traverse_d1": _walk_sql(_SUPPLY_SQL, "s3", 1),
-    "graph_traverse_d3": _walk_sql(_SUPPLY_SQL, "s3", 3),
+    "graph_traverse_d1": _walk_sql(_TERRITORY_SQL, "r1", 1),
+    "graph_traverse_d3": _walk_sql(_TERRITORY_SQL, "r1", 3),
     "graph_traverse_cycle": _walk_sql(_CYCLE_SQL, "a", 4),
     "plugin_order": _PLUGIN_SQL,
     "scan_diff": f"{_BASE} SELECT asset_url AS url, CASE ordinal % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'changed' END AS change FROM assets",
