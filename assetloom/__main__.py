@@ -16,9 +16,8 @@ from .operators.ordinals import first_seen
 from .plans.adhoc import query_lines, register_frames
 from .schemas import REPORTS, TABLES
 from .sources import readers, sinks
-from .storage import configure, exists, read_or_empty, swap
+from .storage import configure, exists, migrate, open_tables, swap
 
-INVENTORY = ("assets", "urls", "endpoints", "technologies")
 LOG = logging.getLogger("assetloom")
 
 
@@ -44,23 +43,21 @@ def run_extract(spark: SparkSession, manifest: DataFrame, bodies: str, output: s
     return spark.read.schema(REPORTS["errors"]).json(f"{output}/reports/errors").count()
 
 
-def inventory(spark: SparkSession, output: str) -> dict[str, DataFrame]:
-    return {t: read_or_empty(spark, f"{output}/tables/{t}", TABLES[t]) for t in INVENTORY}
-
-
 def run_ingest(spark: SparkSession, manifest: DataFrame, output: str) -> dict[str, DataFrame]:
     """Merge the manifest and its reports into the inventory's snapshots."""
+    migrate(spark, f"{output}/tables")
     reports = {n: readers.report(spark, f"{output}/reports", n).withColumn("ordinal", F.monotonically_increasing_id()) for n in ("urls", "websocket", "endpoints", "frameworks")}
+
     def save(name: str, df: DataFrame) -> DataFrame:
         swap(df, f"{output}/tables/{name}")
         return spark.read.schema(TABLES[name]).parquet(f"{output}/tables/{name}")
 
-    return ingest.ingest(inventory(spark, output), readers.as_assets(manifest), reports, save=save)
+    return ingest.ingest(open_tables(spark, f"{output}/tables"), readers.as_assets(manifest), reports, save=save)
 
 
 def run_report(spark: SparkSession, output: str) -> dict[str, str]:
     """summary.json, summary.md and assets.csv as texts by name."""
-    t = inventory(spark, output)
+    t = open_tables(spark, f"{output}/tables")
     found = summary.summary(t["assets"], t["endpoints"], t["technologies"])
     return {"summary.json": sinks.summary_json(found), "summary.md": sinks.summary_markdown(found), "assets.csv": sinks.csv_text(sinks.assets_csv(t["assets"]))}
 
@@ -99,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
             with open(f"{args.output}/reports/{name}", "w", encoding="utf-8", newline="") as f:
                 f.write(text)
     else:
-        register_frames(inventory(spark, args.output))
+        register_frames(open_tables(spark, f"{args.output}/tables"))
         for row in query_lines(spark, args.sql).toLocalIterator():
             sys.stdout.write(row.value + "\n")
     return 0

@@ -24,6 +24,6 @@ def decode_lenient(content: Column) -> Column:
     return F.regexp_replace(decode(content), r"\r\n?", "\n")
 
 
-def shape(value: str) -> str:
+def sql_literal(value: str) -> str:
     """A literal for SQL."""
     return "'" + value.replace("'", "''") + "'"

@@ -81,3 +81,8 @@ def traverse(edges: DataFrame, scan_id: str, source_id: str, max_depth: int = 1)
 def register_scan(scans: DataFrame, scan: DataFrame) -> DataFrame:
     """Scan runs with a new one, unless its id is there."""
     return scans.unionByName(scan.join(scans.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def save_edges(edges: DataFrame, path: str) -> None:
+    """Edges by scan, sorted by their source within a file: a traversal reads one scan's folder and skips row groups by source."""
+    edges.repartition("scan_id", "source_id").sortWithinPartitions("scan_id", "source_id").write.partitionBy("scan_id").mode("append").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import urls as U
-from ..functions.text import shape
+from ..functions.text import sql_literal
 from ..operators import extract, graph, ingest, plugins, summary
 from ..operators.ordinals import first_seen
 from ..sources import synthetic
@@ -28,7 +28,7 @@ def _classify_sql(url: str) -> str:
     name = f"regexp_extract({p}, '[^/]*$')"
     return f"""CASE WHEN {p} LIKE '%.js' OR {p} LIKE '%.mjs' THEN 'javascript' WHEN {p} LIKE '%.map' THEN 'source_map' WHEN {p} LIKE '%.wasm' THEN 'webassembly'
  WHEN {name} IN ('manifest.json', 'manifest.webmanifest') OR {p} LIKE '%.webmanifest' THEN 'manifest'
- WHEN regexp_matches({p}, {shape(P.WORKER)}) THEN 'worker' WHEN {p} LIKE '%.json' THEN 'configuration' ELSE 'other' END"""
+ WHEN regexp_matches({p}, {sql_literal(P.WORKER)}) THEN 'worker' WHEN {p} LIKE '%.json' THEN 'configuration' ELSE 'other' END"""
 
 
 _NAME = "regexp_replace(coalesce(list_filter(string_split(regexp_extract({url}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '' AND x <> '.')[-1], 'asset'), '[^A-Za-z0-9._-]', '_', 'g')"
@@ -40,7 +40,7 @@ _ELIGIBLE = "type = 'javascript' AND status = 'downloaded'"
 
 
 def _matches_sql(pattern: str, group: int) -> str:
-    return f"{_BASE} SELECT asset_url, unnest(list_distinct(regexp_extract_all(source, {shape(pattern)}, {group}))) AS value FROM assets WHERE {_ELIGIBLE}"
+    return f"{_BASE} SELECT asset_url, unnest(list_distinct(regexp_extract_all(source, {sql_literal(pattern)}, {group}))) AS value FROM assets WHERE {_ELIGIBLE}"
 
 
 # ---- inputs ------------------------------------------------------------------------------------
@@ -174,10 +174,10 @@ def ingest_urls(spark, d):
 
 
 def _report_sql(pattern: str, group: int) -> str:
-    return f"SELECT asset_url, unnest(list_distinct(regexp_extract_all(source, {shape(pattern)}, {group}))) AS value FROM assets WHERE {_ELIGIBLE}"
+    return f"SELECT asset_url, unnest(list_distinct(regexp_extract_all(source, {sql_literal(pattern)}, {group}))) AS value FROM assets WHERE {_ELIGIBLE}"
 
 
-_TECH_SQL = " UNION ALL ".join(f"SELECT asset_url, {shape(n)} AS technology FROM assets WHERE {_ELIGIBLE} AND regexp_matches(source, {shape(P.re2_technology(t))})" for n, t in P.TECHNOLOGIES.items())
+_TECH_SQL = " UNION ALL ".join(f"SELECT asset_url, {sql_literal(n)} AS technology FROM assets WHERE {_ELIGIBLE} AND regexp_matches(source, {sql_literal(P.re2_technology(t))})" for n, t in P.TECHNOLOGIES.items())
 
 
 def summary_figures(spark, d):
@@ -316,12 +316,12 @@ _ALL_FINDINGS = f"""f AS (SELECT 'endpoints' AS report, asset_url, value FROM ({
 ORACLE_SQL: dict[str, str] = {
     "classify_assets": f"{_BASE} SELECT asset_url, type FROM assets",
     "classify_counts": f"{_BASE} SELECT type, count(*) AS n FROM assets GROUP BY type",
-    "candidate_filter": f"WITH {synthetic.SQL}, c AS (SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN listed_url ELSE listed_url || '  ' END AS url FROM assets_src) SELECT ordinal, trim(url) AS url FROM c WHERE regexp_matches(url, {shape(P.CANDIDATE)})",
+    "candidate_filter": f"WITH {synthetic.SQL}, c AS (SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN listed_url ELSE listed_url || '  ' END AS url FROM assets_src) SELECT ordinal, trim(url) AS url FROM c WHERE regexp_matches(url, {sql_literal(P.CANDIDATE)})",
     "dedup_first_seen": f"WITH {synthetic.SQL} SELECT row_number() OVER (ORDER BY o) - 1 AS position, url FROM (SELECT listed_url AS url, min(ordinal) AS o FROM assets_src WHERE starts_with(listed_url, 'http://') OR starts_with(listed_url, 'https://') GROUP BY 1)",
     "eligible_assets": f"{_BASE} SELECT ordinal, asset_url FROM assets WHERE {_ELIGIBLE}",
     "safe_names": f"{_BASE} SELECT asset_url, local_path AS name FROM assets",
     "integrity": "SELECT page_id, sha256(coalesce(html, '')) AS sha256, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size_bytes FROM pages",
-    "mime_guess": f"{_BASE} SELECT asset_url, coalesce(nullif(split_part(header, ';', 1), ''), CASE lower(regexp_extract(local_path, '\\.([A-Za-z0-9]+)$', 1)) {' '.join(f'WHEN {shape(k)} THEN {shape(v)}' for k, v in U.MEDIA_TYPES.items())} END) AS mime_type FROM assets",
+    "mime_guess": f"{_BASE} SELECT asset_url, coalesce(nullif(split_part(header, ';', 1), ''), CASE lower(regexp_extract(local_path, '\\.([A-Za-z0-9]+)$', 1)) {' '.join(f'WHEN {sql_literal(k)} THEN {sql_literal(v)}' for k, v in U.MEDIA_TYPES.items())} END) AS mime_type FROM assets",
     "extract_endpoints": f"SELECT asset_url, value AS endpoint, 'api' AS kind FROM ({_matches_sql(P.RE2_ENDPOINTS, 1)})",
     "extract_imports": f"SELECT asset_url, value AS module FROM ({_matches_sql(P.RE2_IMPORTS, 1)})",
     "extract_urls": f"SELECT asset_url, value AS url, 'url' AS kind FROM ({_matches_sql(P.RE2_URLS, 0)})",

@@ -41,6 +41,12 @@ TABLES = {
     "schema_migrations": _schema("version string, applied_at timestamp"),
 }
 
+#: Versions of the table set, append-only: each adds tables and none changes one.
+MIGRATIONS = (
+    ("0001_inventory", ("assets", "urls", "endpoints", "technologies", "findings")),
+    ("0002_platform", ("scan_runs", "scan_assets", "graph_nodes", "graph_edges", "plugin_runs")),
+)
+
 #: Classes of assets.
 ASSET_TYPES = ("javascript", "source_map", "webassembly", "configuration", "manifest", "worker", "other")
 

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .schemas import MIGRATIONS, TABLES
+
 _own: list[str] = []
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.variable.substitute": "false", "spark.sql.adaptive.enabled": "true"}
@@ -57,3 +60,28 @@ def swap(df: DataFrame, path: str) -> None:
         fs.delete(target, True)
     if not fs.rename(fresh, target):
         raise OSError(f"could not put {new} in place of {path}")
+
+
+def migrate(spark: SparkSession, folder: str) -> tuple[str, ...]:
+    """Bring a folder of tables up to the newest version; the versions applied now.
+
+    A version's missing tables are made, empty, before it is recorded, so an interrupted run is
+    taken up again; tables that are there aren't touched.
+    """
+    record = f"{folder}/schema_migrations"
+    done = {r.version for r in read_or_empty(spark, record, TABLES["schema_migrations"]).collect()}
+    applied = []
+    for version, tables in MIGRATIONS:
+        if version in done:
+            continue
+        for table in tables:
+            if not exists(spark, f"{folder}/{table}"):
+                spark.createDataFrame([], TABLES[table]).write.parquet(f"{folder}/{table}")
+        spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("applied_at")).write.mode("append").parquet(record)
+        applied.append(version)
+    return tuple(applied)
+
+
+def open_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All tables of a migrated folder by name; those not there are empty."""
+    return {name: read_or_empty(spark, f"{folder}/{name}", schema) for name, schema in TABLES.items()}

@@ -1,9 +1,12 @@
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from assetloom.functions import patterns as P
 from assetloom.functions import urls as U
-from assetloom.functions.text import decode_lenient
+from assetloom.functions.text import decode_lenient, sql_literal
 from assetloom.plans.adhoc import glob_to_regex
 
 CLASSES = [
@@ -97,3 +100,21 @@ def test_large_texts_do_not_overflow_the_regex_stack(spark):
 def test_globs(spark):
     for glob, text, hit in (("a*c", "abbc", True), ("a?c", "abbc", False), ("[a-c]x", "bx", True), ("[^a]x", "ax", False), ("a.c", "abc", False), ("*", "a\nb", True), ("[x", "[x", True)):
         assert spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(glob_to_regex(glob))).first()[0] is hit
+
+
+def test_spark_and_duckdb_patterns_agree_on_random_token_strings(spark):
+    rng = random.Random(11)
+    tokens = ["import ", "import{a} ", " from ", "require(", "require (", "'", '"', "`", "/", "//", "/api", "/v1", "/rest", "graphql", "ws://", "WSS://", "http:", "https://", "x", "é", "_", " ", "\n", "\xa0", "\u2003", "<", "\\", "@angular", "react", "Vue", "nuxt.js", "/@vite/client", "import.meta.hot", "(", ")", "${", "}", "?q=1", "next/dist", "1"]
+    texts = ["".join(rng.choice(tokens) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    all_of = lambda p, g: F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(p), F.lit(g))))
+    java = {"urls": (P.URLS, 0), "ws": (P.WEBSOCKETS, 0), "ends": (P.ENDPOINTS, 0), "imports": (P.IMPORTS, 1)}
+    got = df.select("i", *[all_of(*x).alias(n) for n, x in java.items()], *[F.col("t").rlike(P.technology(t)).alias(n) for n, t in P.TECHNOLOGIES.items()]).orderBy("i").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (i INTEGER, t VARCHAR)")
+    con.executemany("INSERT INTO s VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+    re2 = {"urls": (P.RE2_URLS, 0), "ws": (P.RE2_WEBSOCKETS, 0), "ends": (P.RE2_ENDPOINTS, 1), "imports": (P.RE2_IMPORTS, 1)}
+    fields = [f"list_distinct(regexp_extract_all(t, {sql_literal(p)}, {g}))" for p, g in re2.values()] + [f"regexp_matches(t, {sql_literal(P.re2_technology(t))})" for t in P.TECHNOLOGIES.values()]
+    want = con.sql(f"SELECT i, {', '.join(fields)} FROM s ORDER BY i").fetchall()
+    for r, w in zip(got, want, strict=True):
+        assert tuple(r) == tuple(sorted(x) if isinstance(x, list) else x for x in w), texts[r.i]

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -57,6 +59,14 @@ def test_traversal_repeats_paths_and_stops_at_depth(spark):
         graph.traverse(edges, "s", "a", 0)
 
 
+def test_saved_edges_are_read_by_scan(spark, tmp_path):
+    edges = spark.createDataFrame([(s, str(i), "to", "x", "") for s in "ab" for i in range(5)], EDGES)
+    graph.save_edges(edges, f"{tmp_path}/edges")
+    back = spark.read.parquet(f"{tmp_path}/edges").select(*edges.columns)
+    assert graph.traverse(back, "a", "3", 2).count() == 1 and back.count() == 10
+    assert "scan_id=a" in "".join(os.listdir(f"{tmp_path}/edges"))
+
+
 def test_models_take_their_defaults(spark):
     for kind in MODELS:
         df = graph.model(spark.createDataFrame([("1",)], "id string"), kind)

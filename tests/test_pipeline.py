@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -6,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from assetloom import __main__ as cli
-from assetloom import config, schemas
+from assetloom import config, schemas, storage
 from assetloom.operators import extract, ingest, summary
 from assetloom.operators.ordinals import dense, first_seen
 from assetloom.sources import readers, sinks
@@ -188,6 +189,22 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["--output", out, "ingest", str(tmp_path / "none.json")])
 
 
+def test_migrations_are_applied_once_and_touch_nothing_that_is_there(spark, tmp_path):
+    folder = str(tmp_path / "tables")
+    spark.createDataFrame([(1, 2, "f", "info", "v", None)], schemas.TABLES["findings"]).write.parquet(f"{folder}/findings")
+    assert storage.migrate(spark, folder) == tuple(v for v, _ in schemas.MIGRATIONS) and storage.migrate(spark, folder) == ()
+    tables = storage.open_tables(spark, folder)
+    assert set(tables) == set(schemas.TABLES) and tables["findings"].count() == 1 and tables["graph_edges"].schema == schemas.TABLES["graph_edges"]
+    assert sorted(r.version for r in tables["schema_migrations"].collect()) == [v for v, _ in schemas.MIGRATIONS]
+
+
+def test_snapshots_are_swapped_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    storage.swap(spark.range(3), path)
+    storage.swap(spark.read.parquet(path).unionByName(spark.range(10, 12)), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 10, 11] and os.listdir(tmp_path) == ["t"]
+
+
 def test_configuration():
     assert config.parse(None) == config.Config()
     got = config.parse({"threads": 3, "crawler": {"depth": 2, "javascript": False}, "download": None, "database": {"path": "x"}})
