@@ -10,8 +10,6 @@ all other shards, which start from it.  Results are exact: bounds are rounded up
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,7 +72,10 @@ class BallTree:
                 continue
             lo, hi = self.spans[node]
             scores = self.vectors[lo:hi] @ query
-            for i in np.flatnonzero(scores >= floor).tolist():
+            near = np.flatnonzero(scores >= floor)
+            if len(near) > 4 * k:  # a leaf of equal vectors can be large; its own row may be among the best
+                near = near[np.lexsort((self.ids[lo + near], -scores[near]))[: k + _own(self.ids[lo + near], own)]]
+            for i in near.tolist():
                 if (other := int(self.ids[lo + i])) != own:
                     item = (int(scores[i]), -other)
                     if len(best) < k:
@@ -86,6 +87,10 @@ class BallTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+def _own(ids: np.ndarray, own: int) -> int:
+    return int(np.count_nonzero(ids == own))
+
+
 def quantised(vector: Column) -> Column:
     """floor(256 * x) of each component as long; null for a vector that is null or holds null or a non-finite component."""
     sound = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))

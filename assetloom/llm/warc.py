@@ -19,19 +19,20 @@ import pickle
 import tempfile
 import urllib.parse
 from collections.abc import Callable, Iterable, Iterator
-from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, col, new_path, raw, written
+from .shared import batch, col, new_path, written
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 ROWS_PER_FILE = 1000
 #: Captures a merging task holds before it spills its runs.
 HELD_CAPTURES = 200_000
+#: Made-up times of capture stay below this second.
+_LAST_SECOND = 100 * 365 * 86_400
 END = "\r\n\r\n"
 
 
@@ -47,11 +48,12 @@ def _revisits(df: DataFrame, key: str, payload: str, least: int) -> DataFrame:
 def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None, least: int = REVISIT_BYTES, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write a record for each row of ``df`` into archives under ``path``.
 
-    captured: the time of capture, by default the epoch plus ``key`` seconds (tables without one).
+    captured: the time of capture; by default, for tables without one, the epoch plus ``key``
+    seconds, counted anew from each century's worth of them so that no key is out of range.
     Null payloads are empty, a null URL is left out, a null key is written as ``null``; of rows
     that share the largest key of equal payloads each is a response.
     """
-    slim = df.select(col(key).alias("key"), col(url).alias("url"), col(payload).alias("body"), (captured if captured is not None else F.timestamp_seconds(F.coalesce(col(key), F.lit(0)))).alias("at"))
+    slim = df.select(col(key).alias("key"), col(url).alias("url"), col(payload).alias("body"), (captured if captured is not None else F.timestamp_seconds(F.pmod(F.coalesce(col(key), F.lit(0)), F.lit(_LAST_SECOND)))).alias("at"))
     rows = _revisits(slim, "key", "body", least)
     name = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("_of").isNotNull()
