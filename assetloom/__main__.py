@@ -85,14 +85,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command in ("extract", "ingest") and not exists(spark, args.manifest):
         parser.error(f"no manifest at {args.manifest}")
     if args.command == "classify":
-        LOG.info("Classified %d assets", run_classify(spark, args.urls, args.output).count())
+        LOG.info("%d assets in the manifest", run_classify(spark, args.urls, args.output).count())
     elif args.command == "extract":
-        LOG.info("Extraction completed with %d recoverable errors", run_extract(spark, _manifest(spark, args.manifest), args.bodies, args.output))
+        LOG.info("extracted, with %d recoverable errors", run_extract(spark, _manifest(spark, args.manifest), args.bodies, args.output))
     elif args.command == "ingest":
         run_ingest(spark, _manifest(spark, args.manifest), args.output)
     elif args.command == "report":
         for name, text in run_report(spark, args.output).items():
-            LOG.info("Writing %s", name)
+            LOG.info("writes %s", name)
             with open(f"{args.output}/reports/{name}", "w", encoding="utf-8", newline="") as f:
                 f.write(text)
     else:

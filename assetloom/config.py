@@ -42,7 +42,7 @@ def parse(data: object) -> Config:
     """Check a parsed document. Errors name the key; absent keys and empty sections take the defaults."""
     data = {} if data is None else data
     if not isinstance(data, dict):
-        raise ValueError("Configuration root must be a mapping")
+        raise ValueError("the root of the configuration must be a mapping")
     found: dict[str | None, dict] = {None: {}}
     for section in ("crawler", "download", "database"):
         value = data.get(section)

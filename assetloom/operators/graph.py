@@ -54,7 +54,7 @@ def relate(nodes: DataFrame, pairs: DataFrame, existing: DataFrame | None = None
     for end in ("source", "target"):
         look = nodes.select(F.col("scan_id").alias("_s"), F.col("node_type").alias("_t"), F.col("natural_key").alias("_k"), F.col("id").alias(f"_{end}"))
         found = found.join(look, (F.col("scan_id") == F.col("_s")) & (F.col(f"{end}_type") == F.col("_t")) & (F.col(f"{end}_key") == F.col("_k")), "left").drop("_s", "_t", "_k")
-        known = F.when(F.col(f"_{end}").isNotNull(), F.col(f"_{end}")).otherwise(F.raise_error(F.lit("Model was not persisted")))
+        known = F.when(F.col(f"_{end}").isNotNull(), F.col(f"_{end}")).otherwise(F.raise_error(F.lit("an end of the edge is not stored")))
         found = found.withColumn(f"{end}_id", known)
     edges = found.select("scan_id", "source_id", "relationship", "target_id", "evidence")
     return (edges if existing is None else existing.unionByName(edges)).distinct()
@@ -67,7 +67,7 @@ def traverse(edges: DataFrame, scan_id: str, source_id: str, max_depth: int = 1)
     the optimizer sees them all and no level passes through the driver.
     """
     if max_depth < 1:
-        raise ValueError("max_depth must be at least one")
+        raise ValueError("max_depth counts from 1")
     own = edges.filter(F.col("scan_id") == scan_id).select("source_id", "relationship", "target_id", "evidence")
     level = own.filter(F.col("source_id") == source_id)
     out = level.withColumn("depth", F.lit("1"))

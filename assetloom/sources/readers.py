@@ -49,12 +49,12 @@ def parse_manifest(texts: DataFrame, text: str = "value", schema: StructType = M
     body = strip(F.col(text))
     parsed = F.from_json(body, ArrayType(schema), {"mode": "FAILFAST"})
     checked = (
-        F.when(body == "", F.raise_error(F.lit("Asset manifest is empty")))
-        .when(~body.startswith("["), F.raise_error(F.lit("Asset manifest must be a JSON array")))
+        F.when(body == "", F.raise_error(F.lit("the manifest holds nothing")))
+        .when(~body.startswith("["), F.raise_error(F.lit("a manifest is a JSON array")))
         .otherwise(parsed)
     )
     entries = texts.select(F.explode(checked).alias("entry"))
-    url = F.when(F.col("entry").isNull(), F.raise_error(F.lit("Each asset manifest entry must be an object"))).when(F.col("entry.url").isNull(), F.raise_error(F.lit("An asset manifest entry has no url"))).otherwise(F.col("entry.url"))
+    url = F.when(F.col("entry").isNull(), F.raise_error(F.lit("a manifest entry is no object"))).when(F.col("entry.url").isNull(), F.raise_error(F.lit("a manifest entry has no url"))).otherwise(F.col("entry.url"))
     rest = [F.col(f"entry.{f.name}").alias(f.name) for f in schema if f.name != "url"]
     return entries.select(F.monotonically_increasing_id().alias("ordinal"), url.alias("url"), *rest)
 

@@ -43,7 +43,7 @@ def test_relate_is_insert_or_ignore_and_needs_both_ends(spark):
     edges = graph.relate(nodes, pairs)
     assert sorted(map(tuple, edges.collect())) == [("s", "1", "reaches", "2", ""), ("s", "1", "reaches", "2", "e")]
     assert graph.relate(nodes, pairs, edges).count() == 2
-    with pytest.raises(PySparkException, match="not persisted"):
+    with pytest.raises(PySparkException, match="not stored"):
         graph.relate(nodes, spark.createDataFrame([row(keys["1"], "none", "")], schema)).collect()
 
 
