@@ -149,16 +149,17 @@ def ingested(spark, d, needed: tuple[str, ...]) -> dict[str, DataFrame]:
     """
     tables = {n: spark.createDataFrame([], ddl) for n, ddl in _EMPTY_TABLES.items()}
     for day, (which, status) in enumerate((("ordinal % 3 <> 1", F.col("status")), ("ordinal % 3 <> 0", F.lit("rescanned")))):
-        keep = ingest.snapshots(scratch(spark, "ingest"))
-        tables = ingest.ingest(tables, _entries(spark, d, which, status), _reports(spark, d, which), F.timestamp_seconds(F.lit(86_400 * day)), lambda n, df, keep=keep: keep(n, df) if n in ("assets", *needed) else df)
+        keep, now = ingest.snapshots(scratch(spark, "ingest")), F.timestamp_seconds(F.lit(86_400 * day))
+        entries = _entries(spark, d, which, status)
+        if needed:
+            tables = ingest.ingest(tables, entries, _reports(spark, d, which), now, lambda n, df, keep=keep: keep(n, df) if n in ("assets", *needed) else df)
+        else:
+            tables = tables | {"assets": keep("assets", ingest.upsert_assets(tables["assets"], entries, now))}
     return tables
 
 
 def upsert_assets(spark, d):
-    now = F.timestamp_seconds(F.lit(0))
-    empty = spark.createDataFrame([], _EMPTY_TABLES["assets"])
-    first = ingest.upsert_assets(empty, _entries(spark, d, "ordinal % 3 <> 1", F.col("status")), now)
-    both = ingest.upsert_assets(first, _entries(spark, d, "ordinal % 3 <> 0", F.lit("rescanned")), F.timestamp_seconds(F.lit(86_400)))
+    both = ingested(spark, d, ())["assets"]
     return both.select("id", "url", "local_path", "asset_type", "sha256", "size_bytes", "mime_type", "status", F.unix_seconds("discovered_at").alias("discovered_s"))
 
 
