@@ -68,14 +68,34 @@ def library(path: str):
 
 
 def library_coder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Codes words or raw pieces by the library, all in one call."""
+    """Codes words or raw pieces by the library, in few calls.
+
+    Words of Latin-1 are one word to the library too, so many go as one text, and each ends with
+    its first token that carries the end-of-word mark.  Other pieces are told apart by the library.
+    """
     tokenizer = library(path)
+    mark = tokenizer.model.end_of_word_suffix
+    ends = np.array([bool(mark) and (tokenizer.id_to_token(i) or "").endswith(mark) for i in range(tokenizer.get_vocab_size())])
 
-    def code(pieces: list[str]) -> list[bytes]:
+    def cut(ids: np.ndarray, at: list[int]) -> list[bytes]:
+        return [ids[s:t].tobytes() for s, t in zip(at, at[1:], strict=False)]
+
+    def apart(pieces: list[str]) -> list[bytes]:
         e = tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids, words = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-        at = np.searchsorted(words, np.arange(len(pieces) + 1)).tolist()
-        return [ids[s:t].tobytes() for s, t in zip(at, at[1:], strict=False)]
+        return cut(ids, np.searchsorted(words, np.arange(len(pieces) + 1)).tolist())
+
+    def together(words: list[str]) -> list[bytes]:
+        texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        ids = np.array([i for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+        at = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
+        return cut(ids, at) if len(at) == len(words) + 1 else apart(words)
+
+    def code(pieces: list[str]) -> list[bytes]:
+        plain = [latin_words(p) == [p] for p in pieces] if mark else [False] * len(pieces)
+        first = iter(together([p for p, x in zip(pieces, plain, strict=True) if x]))
+        other = iter(apart([p for p, x in zip(pieces, plain, strict=True) if not x]))
+        return [next(first if x else other) for x in plain]
 
     return code
 
