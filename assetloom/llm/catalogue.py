@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import attribution, balltree, bpe, exact_dedup, hilbert, licences, packing, quality, simhash, warc
+from .shared import reachable
 
 _MODULES = (packing, exact_dedup, warc, attribution, licences, quality, bpe, balltree, hilbert, simhash)
 
@@ -17,7 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in _MODULES:
         found |= module.QUERIES
-    return found | {"pipeline": corpus_pipeline.run}
+    found["pipeline"] = corpus_pipeline.run
+    return {name: (lambda spark, sf_dir, query=query: query(reachable(spark), sf_dir)) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from .shared import col, fresh, raw, written
 
-#: Share of the pooled variances in a class covariance, and what is added to each variance.
+#: Least share of the pooled variances in a class covariance, and what is added to each variance.
+#: A class of n rows has a share of p / (n + p) at least, p being the number of statistics: few rows say little about p * p covariances.
 SHRINKAGE, RIDGE = 0.05, 1e-4
 #: Log-density differences are divided by this, the number of statistics, before the logistic function: they aren't independent normals, so plain densities are overconfident.
 TEMPERATURE = 17.0
@@ -129,7 +130,8 @@ def discriminant(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrin
     for count, total, outer in classes:
         m = total / count if count else mean
         own = outer / count - np.outer(m, m) if count else pooled
-        covariance = (1 - shrinkage) * own + shrinkage * np.diag(np.diag(pooled)) + ridge * np.eye(p)
+        share = max(shrinkage, p / (count + p))
+        covariance = (1 - share) * own + share * np.diag(np.diag(pooled)) + ridge * np.eye(p)
         lower = np.linalg.cholesky(covariance)
         out.append((m, np.linalg.inv(lower), math.log((count + 1) / (n + 2)) - float(np.log(np.diag(lower)).sum())))
     means, factors, constants = zip(*out, strict=True)

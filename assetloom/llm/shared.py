@@ -7,6 +7,7 @@ same rows.  Only where that setting is absent (local tests) a folder is made on
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,6 +24,20 @@ _written: list[str] = []
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """The session, its Python workers told where this package lies.
+
+    Workers on a cluster need the package installed or shipped; those that share the driver's files
+    then find it even if the driver only extended its own ``sys.path``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by the session; one of our own only where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

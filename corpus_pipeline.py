@@ -6,12 +6,15 @@ all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from assetloom.llm.exact_dedup import exact_dedup
 from assetloom.llm.packing import pack_documents
 from assetloom.llm.quality import keep_good
-from assetloom.llm.shared import written
+from assetloom.llm.shared import reachable, written
 from assetloom.llm.simhash import keep_one
 
 
@@ -35,7 +38,15 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("simhash near-dedup", near_stage), ("best-fit packing", pack_stage)]
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return work(reachable(spark), docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("quality classifier", _stage(quality_stage)), ("exact dedup", _stage(exact_stage)), ("simhash near-dedup", _stage(near_stage)), ("best-fit packing", _stage(pack_stage))]
 
 #: SQL has no tokenizer, no XXH64 and no discriminant; the stages are tested against brute force instead.
 ORACLE_SQL = None

@@ -151,7 +151,8 @@ def test_scores_are_the_log_density_difference():
     logs = []
     for c in (0, 1):
         m = data[c].mean(0)
-        s = (1 - quality.SHRINKAGE) * np.cov(data[c].T, bias=True) + quality.SHRINKAGE * np.diag(variances) + quality.RIDGE * np.eye(p)
+        share = max(quality.SHRINKAGE, p / (len(data[c]) + p))
+        s = (1 - share) * np.cov(data[c].T, bias=True) + share * np.diag(variances) + quality.RIDGE * np.eye(p)
         d = both - m
         logs.append(math.log(0.5) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (d * np.linalg.solve(s, d.T).T).sum(1))
     assert np.allclose(model.scores(both), 1 / (1 + np.exp(-(logs[1] - logs[0]) / quality.TEMPERATURE)))
