@@ -37,10 +37,16 @@ END = "\r\n\r\n"
 
 
 def _revisits(df: DataFrame, key: str, payload: str, least: int) -> DataFrame:
-    """Adds _digest, _bytes and _of: the key of the response that holds the payload, null for responses."""
+    """Adds _digest, _bytes and _of: the key of the response that holds the payload, null for responses.
+
+    Only payloads that occur more than once are looked up.  That table is written first, so its
+    size is known when the join is planned: where it is small Spark broadcasts it and no payload
+    is shuffled; else payloads are dealt by digest.
+    """
     body = F.coalesce(col(payload).cast("binary"), F.lit(b""))
     hashed = df.withColumns({"_digest": F.sha1(body), "_bytes": F.octet_length(body).cast("long")})
-    stored = hashed.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.max(col(key)).alias("_holder"))
+    groups = hashed.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.max(col(key)).alias("_holder"), F.count("*").alias("_n"))
+    stored = written(groups.filter("_n > 1").drop("_n"), "stored")
     joined = hashed.join(stored, ["_digest", "_bytes"], "left")
     return joined.withColumn("_of", F.when(~col(key).eqNullSafe(F.col("_holder")), F.col("_holder"))).drop("_holder")
 
