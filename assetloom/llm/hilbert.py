@@ -63,20 +63,23 @@ def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str) -> DataFr
     return df.withColumn(out, index).drop(*x, f"{out}_t")
 
 
-def cells(df: DataFrame, dimensions: dict[str, Column], bits: int) -> DataFrame:
-    """``df`` with each dimension (a number, null lowest) as its step from 0 to 2**bits - 1, at quantiles over all rows.
+def cells(df: DataFrame, dimensions: dict[str, Column], bits: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with each dimension (a number, null lowest) as its step from 0 to 2**bits - 1, at quantiles over all rows; their names.
 
     A value that spans several quantiles skips their steps, so few values still use the whole axis.
+    A dimension without any value is left out: it tells no rows apart, and the optimizer would
+    fold its constant steps through the whole curve.
     """
     steps = 1 << bits
     cuts = [i / steps for i in range(1, steps)]
     found = df.agg(*[F.percentile_approx(c, cuts, 1000).alias(n) for n, c in dimensions.items()]).first()
-    for name, c in dimensions.items():
-        step = F.lit(0)
+    there = [n for n in dimensions if found[n]]
+    for name in there:
+        c, step = dimensions[name], F.lit(0)
         for cut, n in sorted(Counter(found[name] or ()).items()):
             step = step + F.when(c > F.lit(cut), F.lit(n)).otherwise(F.lit(0))
         df = df.withColumn(name, step)
-    return df
+    return df, there
 
 
 def _passed(value: Column, cuts: list[int]) -> Column:
@@ -108,7 +111,8 @@ def hilbert_shards(df: DataFrame, key: str = "doc_id", text: str = "text", dimen
     slim = written(slim, "hilbert")
     axes = [f"a{i}" for i in range(len(dimensions) + 1)]
     sources = [*[F.col(f"d{i}") for i in range(len(dimensions))], F.col("size")]
-    placed = hilbert_index(cells(slim, dict(zip(axes, sources, strict=True)), bits), axes, bits, "curve")
+    placed, axes = cells(slim, dict(zip(axes, sources, strict=True)), bits)
+    placed = hilbert_index(placed, axes, bits, "curve") if axes else placed.withColumn("curve", F.lit(0).cast("long"))
     value = F.shiftrightunsigned(F.xxhash64("key", "text_crc32", "size"), 64 - _VALUE_BITS)
     row = F.shiftrightunsigned(F.xxhash64("row"), 64 - _ROW_BITS)
     order = F.shiftleft("curve", _VALUE_BITS + _ROW_BITS).bitwiseOR(F.shiftleft(value, _ROW_BITS)).bitwiseOR(row)
