@@ -145,7 +145,12 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     Null keys come last.  Rows that agree in every column count as one.
     """
-    found = written(near_duplicates(df, key, text, words, bits), "simhash-found")
+    return keep_heads(df, key, near_duplicates(df, key, text, words, bits))
+
+
+def keep_heads(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Of each component of ``found`` (key, row_hash, component), which labels the rows of ``df``, one row of the smallest key."""
+    found = written(found, "simhash-found")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row_hash"))
     heads = found.groupBy("component").agg(first.alias("h")).select("h.key", "h.row_hash")
     copies = found.groupBy("key", "row_hash").count()

@@ -15,7 +15,7 @@ from assetloom.llm.exact_dedup import exact_dedup
 from assetloom.llm.packing import pack_documents
 from assetloom.llm.quality import keep_good
 from assetloom.llm.shared import reachable, written
-from assetloom.llm.simhash import keep_one
+from assetloom.llm.similar import keep_dissimilar
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the row with the smallest doc_id."""
-    return keep_one(docs)
+    """Of near duplicates, texts whose five-word similarity is at least 0.8, the row with the smallest doc_id."""
+    return keep_dissimilar(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

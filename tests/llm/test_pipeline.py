@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from assetloom.llm import catalogue
+from assetloom.llm import catalogue, similar
 from assetloom.llm.exact_dedup import exact_dedup
 from assetloom.llm.simhash import near_duplicates
 from assetloom.llm.wordcode import default_path, library
@@ -107,3 +107,38 @@ def test_planted_copies_and_near_copies_go_and_clean_rows_stay(spark):
     assert {r.key for r in flags.filter("NOT kept").collect()} == {100 + i for i in range(10)}
     left = corpus_pipeline.near_stage(spark, kept, "")
     assert {r.doc_id for r in left.collect()} == set(range(30))
+
+
+def brute_components(texts, words=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))})
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(a & sets[j]) / len(a | sets[j]) >= similarity:
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_near_stage_links_at_five_word_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    texts = []
+    for changes in (0, 1, 2, 3, 4, 5, 6, 8, 12):  # 200 words: each change costs about five shingles of 196
+        for _ in range(4):
+            own = list(rng.choice(words, 200))
+            texts.append(" ".join(own))
+            for at in rng.choice(200, changes, replace=False):
+                own[at] = "changed"
+            texts.append(" ".join(own).upper())
+    hub = list(rng.choice(words, 60))
+    texts += [" ".join(hub[:k] + [f"w{k}"] + hub[k:]) for k in range(20)] + ["", None, "one two", "one two three", "b"]
+    label = brute_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = corpus_pipeline.near_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted({c: i for i, c in reversed(list(enumerate(label)))}.values())
+    assert 12 < len(texts) - len(set(label)) < 50
