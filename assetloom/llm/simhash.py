@@ -1,12 +1,12 @@
-"""SimHash near-dedup: a byte-position inverted index with count filtering.
+"""SimHash near-dedup: an inverted index over choices of four byte positions, in place of tallying.
 
 A fingerprint is eight bytes.  Fingerprints that differ in at most ``d`` bits differ in at most
 ``d`` bytes, so they share at least ``m = 8 - d`` bytes in place: the guaranteed minimum.  The
-index therefore posts every distinct fingerprint under each choice of ``m`` positions with the
-bytes there; two that share ``k`` bytes in place meet in ``C(k, m)`` postings and two that share
-fewer than ``m`` never meet, which is the count filter, applied by the index itself and not by
-tallying pairs of one-byte postings (whose length is a 256th of the corpus).  Within a posting,
-shared bytes are counted and the bit distance verified.
+index posts every distinct fingerprint under each choice of ``m`` positions with the bytes there;
+two that share ``m`` bytes or more in place meet in a posting, and two that share fewer never do.
+Shared bytes are not counted: only the bit distance is tested within a posting.  Tallying pairs
+from one-byte postings would find the same links, but each such posting holds a 256th of the
+corpus, so the tallies grow with its square (README gives figures).
 
 Equal fingerprints are one node, and a posting gives a spanning forest of its links rather than
 all its pairs: the classes are the same, and a group of n copies costs n - 1 edges.
