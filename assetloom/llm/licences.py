@@ -77,6 +77,8 @@ RULES = [
 #: Sentences end at . ! ? before white space and at empty lines.  One that isn't known is tried line by line.
 _ENDS = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 _NOISE = "[^a-z0-9+/]+"
+#: Comment marks where a line starts or ends; a mark at a line's start may follow white space.
+_MARKS = r"(?m)^[ \t]*(?://+[!/]*|/\*+!?|\*+/)|(?://+|/\*+|\*+/)[ \t\r]*$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Every known sentence holds one of these, so a text without any has none (checked when the tables are built).
 _SIGNS = ("licen", "rights", "copyright", "permi", "redistribut", "warrant")
@@ -110,7 +112,8 @@ def recognise(text: Column) -> Column:
     look = lambda s: F.element_at(table, F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), _NOISE, " ")))
     by_line = lambda s: F.transform(F.split(s, "\n", -1), look)
     sentence = lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(by_line(s))
-    found = F.filter(F.flatten(F.transform(F.split(text, _ENDS, -1), sentence)), lambda x: x.isNotNull())
+    bare = F.regexp_replace(text, _MARKS, "")
+    found = F.filter(F.flatten(F.transform(F.split(bare, _ENDS, -1), sentence)), lambda x: x.isNotNull())
     ids = F.when(text.rlike("(?i)" + "|".join(_SIGNS)), found).otherwise(F.array().cast("array<string>"))
     ids = F.coalesce(ids, F.array().cast("array<string>"))
     left = F.concat(F.lit(""), F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))

@@ -120,6 +120,14 @@ def test_licences(spark):
     assert got[9][1:] == ("Rights", "Rights")
 
 
+def test_licences_in_comments(spark):
+    mit = ". ".join(licences.SENTENCES[i][0] for i in ("MitGrant", "MitNotice", "MitAsIs")) + "."
+    lines = mit.replace(", ", ",\n").split("\n")
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0", ""]
+    texts = ["// Licensed under the MIT License", "int x; /* a */\n/* Licensed under the MIT License. */\nint y;", "\n".join(f"  // {x}" for x in lines), "/*\n" + "\n".join(lines) + "\n*/", "\n".join(f"/* {x} */" for x in lines), "\r\n".join(f"// {x}" for x in apache), "\n".join(f"# {x}" for x in lines)]
+    assert [g[0] for g in recognised(spark, texts)] == ["MIT"] * 5 + ["Apache-2.0", "MIT"]
+
+
 def test_rules_use_known_identifiers_and_longer_ones_come_first():
     names = set(licences.SENTENCES)
     for n, (_, rule) in enumerate(licences.RULES):
