@@ -125,11 +125,14 @@ def run(registry: Registry, assets: DataFrame, context: Context, requested: Iter
     return results, runs
 
 
-def order_levels(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def order_levels(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, level) for a DataFrame of plugins (id, dependencies): the longest chain below each; a cycle is an error.
 
-    For metadata that lives in a table; at most ``max_depth`` levels, found by one join a level.
+    For metadata that lives in a table; at most ``max_depth`` levels (by default as many as there are
+    plugins, which only a cycle exceeds), found by one join a level.
     """
+    if max_depth is None:
+        max_depth = max(edges.count(), 1)
     needs = edges.select("id", F.explode_outer("dependencies").alias("dependency"))
     levels = edges.select("id", F.lit(0).alias("level"))
     for _ in range(max_depth):

@@ -133,3 +133,9 @@ def test_plugin_levels_in_a_table(spark):
     assert sorted(map(tuple, plugins.order_levels(df).collect())) == [("a", 1), ("b", 0), ("c", 2)]
     with pytest.raises(ValueError, match="depend on each other"):
         plugins.order_levels(spark.createDataFrame([("a", ["b"]), ("b", ["a"])], "id string, dependencies array<string>"), max_depth=5)
+
+
+def test_a_long_chain_of_plugins_is_no_cycle(spark):
+    n = 66
+    df = spark.createDataFrame([(f"p{i}", [f"p{i - 1}"] if i else []) for i in range(n)], "id string, dependencies array<string>")
+    assert {r.id: r.level for r in plugins.order_levels(df).collect()} == {f"p{i}": i for i in range(n)}
