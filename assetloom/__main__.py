@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.urls import classify
+from . import config
 from .operators import extract, ingest, summary
 from .operators.ordinals import first_seen
 from .plans.adhoc import query_lines, register_frames
-from .schemas import REPORTS, TABLES
+from .schemas import TABLES
 from .sources import readers, sinks
-from .storage import configure, exists, migrate, open_tables, swap
+from .storage import configure, exists, migrate, open_tables, publish, released, stage, vacuum, written
 
 LOG = logging.getLogger("assetloom")
 
@@ -27,39 +28,50 @@ def log_to_stderr(verbose: bool = False) -> None:
 
 
 def run_classify(spark: SparkSession, urls: str, output: str) -> DataFrame:
-    """The URL list's distinct web URLs with their class, as a manifest of JSON lines."""
-    seen = first_seen(readers.url_list(spark, urls))
-    manifest = seen.select("position", "url", classify(F.col("url")).alias("type"))
-    manifest.orderBy("position").drop("position").write.mode("overwrite").json(f"{output}/manifest")
-    return manifest
+    """The URL list's distinct web URLs with their class, as assets.json, one JSON array, and as JSON lines that can be split."""
+    seen = written(first_seen(readers.url_list(spark, urls)).select("position", "url", classify(F.col("url")).alias("type")), "manifest")
+    manifest = seen.orderBy("position").drop("position")
+    manifest.write.mode("overwrite").json(f"{output}/manifest")
+    sinks.write_json_array(seen, f"{output}/assets.json", "position")
+    return seen
 
 
 def run_extract(spark: SparkSession, manifest: DataFrame, bodies: str, output: str) -> int:
     """Write all reports; the number of recoverable errors."""
     entries, texts = readers.as_assets(manifest), readers.bodies(spark, bodies)
-    found = extract.findings(extract.with_bodies(entries, texts))
+    # Written first: dealing by ranges looks at its input twice, and bodies are searched once.
+    found = written(extract.findings(extract.with_bodies(entries, texts)), "findings")
+    found = found.repartitionByRange("ordinal", "position").sortWithinPartitions("ordinal", "position")
     errors = extract.reader_errors(entries, texts.select("local_path"))
     sinks.write_reports(found, errors, f"{output}/reports")
-    return spark.read.schema(REPORTS["errors"]).json(f"{output}/reports/errors").count()
+    return readers.report(spark, f"{output}/reports", "errors").count()
 
 
 def run_ingest(spark: SparkSession, manifest: DataFrame, output: str) -> dict[str, DataFrame]:
-    """Merge the manifest and its reports into the inventory's snapshots."""
-    migrate(spark, f"{output}/tables")
-    reports = {n: readers.report(spark, f"{output}/reports", n).withColumn("ordinal", F.monotonically_increasing_id()) for n in ("urls", "websocket", "endpoints", "frameworks")}
+    """Merge the manifest and its reports into the inventory: all its tables change in one version or none does."""
+    folder = f"{output}/tables"
+    migrate(spark, folder)
+    reports = {n: readers.report(spark, f"{output}/reports", n) for n in ("urls", "websocket", "endpoints", "frameworks")}
+    staged: dict[str, str] = {}
 
     def save(name: str, df: DataFrame) -> DataFrame:
-        swap(df, f"{output}/tables/{name}")
-        return spark.read.schema(TABLES[name]).parquet(f"{output}/tables/{name}")
+        staged[name] = stage(df, folder, name)
+        return spark.read.schema(TABLES[name]).parquet(staged[name])
 
-    return ingest.ingest(open_tables(spark, f"{output}/tables"), readers.as_assets(manifest), reports, save=save)
+    ingest.ingest(open_tables(spark, folder), readers.as_assets(manifest), reports, save=save)
+    publish(spark, folder, staged)
+    vacuum(spark, folder)
+    return open_tables(spark, folder)
 
 
-def run_report(spark: SparkSession, output: str) -> dict[str, str]:
-    """summary.json, summary.md and assets.csv as texts by name."""
+def run_report(spark: SparkSession, output: str) -> dict:
+    """Writes summary.json, summary.md and assets.csv beside the reports; the summary."""
     t = open_tables(spark, f"{output}/tables")
     found = summary.summary(t["assets"], t["endpoints"], t["technologies"])
-    return {"summary.json": sinks.summary_json(found), "summary.md": sinks.summary_markdown(found), "assets.csv": sinks.csv_text(sinks.assets_csv(t["assets"]))}
+    sinks.write_text(spark, f"{output}/reports/summary.json", sinks.summary_json(found))
+    sinks.write_text(spark, f"{output}/reports/summary.md", sinks.summary_markdown(found))
+    sinks.write_csv(sinks.assets_csv(t["assets"]), f"{output}/reports/assets.csv")
+    return found
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -67,9 +79,18 @@ def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return readers.read_manifest(spark, path) if path.endswith(".json") else readers.read_manifest_lines(spark, path)
 
 
+def settings(spark: SparkSession, path: str | None) -> config.Config:
+    """The configuration file's settings, the defaults without one; ``threads`` becomes the number of shuffle partitions."""
+    found = config.load(path) if path else config.Config()
+    if path:
+        spark.conf.set("spark.sql.shuffle.partitions", str(found.threads))
+    return found
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="assetloom", description=__doc__)
-    parser.add_argument("--output", required=True, help="folder of the scan's reports and tables")
+    parser.add_argument("--output", help="folder of the scan's reports and tables; by default the folder of the configuration's database path")
+    parser.add_argument("--config", help="YAML file of settings")
     parser.add_argument("--verbose", action="store_true")
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("classify").add_argument("urls")
@@ -82,23 +103,30 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     log_to_stderr(args.verbose)
     spark = configure(SparkSession.builder.appName("assetloom").getOrCreate())
+    try:
+        found = settings(spark, args.config)
+    except (OSError, ValueError) as problem:
+        parser.error(str(problem))
+    output = args.output or (found.database_path.rsplit("/", 1)[0] if args.config else None)
+    if not output:
+        parser.error("--output or --config must say where the scan's folder is")
     if args.command in ("extract", "ingest") and not exists(spark, args.manifest):
         parser.error(f"no manifest at {args.manifest}")
-    if args.command == "classify":
-        LOG.info("%d assets in the manifest", run_classify(spark, args.urls, args.output).count())
-    elif args.command == "extract":
-        LOG.info("extracted, with %d recoverable errors", run_extract(spark, _manifest(spark, args.manifest), args.bodies, args.output))
-    elif args.command == "ingest":
-        run_ingest(spark, _manifest(spark, args.manifest), args.output)
-    elif args.command == "report":
-        for name, text in run_report(spark, args.output).items():
-            LOG.info("writes %s", name)
-            with open(f"{args.output}/reports/{name}", "w", encoding="utf-8", newline="") as f:
-                f.write(text)
-    else:
-        register_frames(open_tables(spark, f"{args.output}/tables"))
-        for row in query_lines(spark, args.sql).toLocalIterator():
-            sys.stdout.write(row.value + "\n")
+    with released(spark):
+        if args.command == "classify":
+            if exists(spark, args.urls):
+                LOG.info("%d lines in the list", readers.line_count(spark, args.urls).first().n)
+            LOG.info("%d assets in the manifest", run_classify(spark, args.urls, output).count())
+        elif args.command == "extract":
+            LOG.info("extracted, with %d recoverable errors", run_extract(spark, _manifest(spark, args.manifest), args.bodies, output))
+        elif args.command == "ingest":
+            run_ingest(spark, _manifest(spark, args.manifest), output)
+        elif args.command == "report":
+            LOG.info("%d assets in the summary", run_report(spark, output)["total_assets"])
+        else:
+            register_frames(open_tables(spark, f"{output}/tables"))
+            for row in query_lines(spark, args.sql).toLocalIterator():
+                sys.stdout.write(row.value + "\n")
     return 0
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from ..functions.text import decode_lenient
+from ..storage import written
 
 _ITEM = "struct<value: string, kind: string, evidence: string>"
 
@@ -128,14 +130,20 @@ def reader_errors(manifest: DataFrame, bodies: DataFrame, url: str = "url") -> D
 
 
 def with_bodies(manifest: DataFrame, bodies: DataFrame, url: str = "url") -> DataFrame:
-    """Eligible assets with their text, ready for ``findings``; the filter comes before the join."""
-    return eligible(manifest).join(bodies, "local_path").select("ordinal", F.col(url).alias("asset_url"), "type", "source")
+    """Eligible assets with their text, ready for ``findings``.
+
+    The filter comes before the join, and bodies that are bytes (content) are decoded after it, so
+    only files that an asset names are.
+    """
+    text = F.col("source") if "source" in bodies.columns else decode_lenient(F.col("content")).alias("source")
+    return eligible(manifest).join(bodies, "local_path").select("ordinal", F.col(url).alias("asset_url"), "type", text)
 
 
 def python_findings(assets: DataFrame, name: str, analyze: Callable[[str, str], Iterable[tuple[str, str, str]]]) -> tuple[DataFrame, DataFrame]:
     """(findings, errors) of an analyzer written in Python: (url, text) -> (report, value, kind or evidence).
 
-    An exception becomes an error row of that asset; what the analyzer had given before stays.
+    An exception becomes an error row of that asset; what the analyzer had given before stays.  The
+    analyzer runs once: what it gives is written and then split.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,5 +160,6 @@ def python_findings(assets: DataFrame, name: str, analyze: Callable[[str, str],
             yield pd.DataFrame(rows, columns=["asset_url", "ordinal", "report", "position", "value", "kind", "evidence"])
 
     out = assets.select("asset_url", "ordinal", "source").mapInPandas(run, "asset_url string, ordinal bigint, report string, position int, value string, kind string, evidence string")
+    out = written(out, "python-findings")
     errors = out.filter("report = 'errors'").select("asset_url", F.col("value").alias("analyzer"), F.col("kind").alias("message"))
     return out.filter("report <> 'errors'"), errors

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schemas import DEFAULTS, MODELS
+from ..storage import written
 
 NODE = "id string, scan_id string, node_type string, natural_key string, attributes_json string"
 
@@ -60,22 +61,34 @@ def relate(nodes: DataFrame, pairs: DataFrame, existing: DataFrame | None = None
     return (edges if existing is None else existing.unionByName(edges)).distinct()
 
 
+#: Repeats of an edge that one row is spread into at once.
+_SPREAD = 100_000
+
+
 def traverse(edges: DataFrame, scan_id: str, source_id: str, max_depth: int = 1) -> DataFrame:
     """(source_id, relationship, target_id, evidence, depth), all strings: outbound edges up to a depth.
 
-    Every path counts: diamonds and cycles repeat edges.  One join a level, declared up front, so
-    the optimizer sees them all and no level passes through the driver.
+    Every path counts: diamonds and cycles repeat edges.  A level carries each edge once, with its
+    number of paths; only the result repeats it.  Levels are written, so each is computed once and
+    the next joins what is there.
     """
     if max_depth < 1:
         raise ValueError("max_depth counts from 1")
-    own = edges.filter(F.col("scan_id") == scan_id).select("source_id", "relationship", "target_id", "evidence")
-    level = own.filter(F.col("source_id") == source_id)
+    fields = ["source_id", "relationship", "target_id", "evidence"]
+    own = edges.filter(F.col("scan_id") == scan_id).groupBy(*fields).agg(F.count("*").alias("_same"))
+    level = own.filter(F.col("source_id") == source_id).withColumnRenamed("_same", "_paths")
+    if max_depth > 1:
+        own, level = written(own, "graph-edges"), written(level, "graph-level")
     out = level.withColumn("depth", F.lit("1"))
     for depth in range(2, max_depth + 1):
-        ends = level.groupBy(F.col("target_id").alias("source_id")).agg(F.count("*").alias("_paths"))
-        level = own.join(ends, "source_id").withColumn("_path", F.explode(F.sequence(F.lit(1), F.col("_paths").cast("int")))).select("source_id", "relationship", "target_id", "evidence")
+        ends = level.groupBy(F.col("target_id").alias("source_id")).agg(F.sum("_paths").alias("_into"))
+        level = written(own.join(ends, "source_id").select(*fields, (F.col("_same") * F.col("_into")).alias("_paths")), "graph-level")
         out = out.unionByName(level.withColumn("depth", F.lit(str(depth))))
-    return out
+    # Edges of many paths are spread in two steps, so that no array grows with the number of paths.
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_paths - 1) div {_SPREAD}"))).alias("_block")
+    blocks = out.select(*fields, "depth", "_paths", some)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_SPREAD).cast("long"), F.col("_paths") - F.col("_block") * _SPREAD)))
+    return blocks.select(*fields, "depth", each.alias("_")).drop("_")
 
 
 def register_scan(scans: DataFrame, scan: DataFrame) -> DataFrame:

@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose ordinals share all but this many low bits are numbered together.
-_LOW_BITS = 20
+from ..storage import written
 
+#: ``monotonically_increasing_id`` counts a partition's rows in these low bits, from 0.
+_ROW_BITS = 33
 
-def dense(df: DataFrame, ordinal: str = "ordinal", out: str = "position", start: int = 0) -> DataFrame:
-    """``df`` with a position from ``start`` on, in the order of a unique long ``ordinal``.
 
-    Ordinals are bucketed by their high bits; rows are numbered within a bucket, and the counts of
-    the buckets before (one row for each million rows) are added.
+def arrival(path: str = "_metadata.file_path", at: str = "_metadata.file_block_start", when: str | None = None) -> Column:
+    """Where a row of a file source stands: (time of the file, if asked for,) file, block, row.
+
+    To be selected right above the scan.  Spark packs files into tasks by size, so ids alone don't
+    give the order of files; within a block they do give the order of rows.
+    """
+    time = [F.col(when).alias("time")] if when else []
+    return F.struct(*time, F.col(path).alias("file"), F.col(at).alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def dense(df: DataFrame, ordinal: str | tuple[str, ...] = "ordinal", out: str = "position", start: int = 0) -> DataFrame:
+    """``df`` with a position from ``start`` on, in the order of the columns ``ordinal``, which tell all rows apart.
+
+    Rows are dealt by ranges of the ordinal, sorted within, and written once with their place in
+    their range; the ranges' counts, one number each, give what comes before.
     """
-    bucket = F.shiftright(F.col(ordinal), _LOW_BITS)
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy(ordinal))
-    return rows.withColumn("_within", within).join(starts, "_bucket").withColumn(out, F.col("_before") + F.col("_within") - 1 + F.lit(start)).drop("_bucket", "_before", "_within")
+    by = (ordinal,) if isinstance(ordinal, str) else ordinal
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "ordinals")
+    part = F.shiftright("_at", _ROW_BITS)
+    before: list[int] = []
+    total = start
+    for p, n in sorted(map(tuple, placed.groupBy(part.alias("p")).count().collect())):  # one row a range
+        before += [0] * (p + 1 - len(before))
+        before[p], total = total, total + n
+    first = F.element_at(F.lit(before) if before else F.array(F.lit(0)), part.cast("int") + 1)
+    return placed.withColumn(out, first.cast("long") + F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_at")
 
 
 def first_seen(df: DataFrame, key: str = "url", ordinal: str = "ordinal") -> DataFrame:

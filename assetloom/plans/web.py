@@ -135,7 +135,7 @@ def _entries(spark, d, which: str, status) -> DataFrame:
 def _reports(spark, d, which: str) -> dict[str, DataFrame]:
     """The reports of a scan of part of the assets."""
     m = manifest(spark, d).filter(which)
-    found = extract.findings(extract.eligible(m)).withColumn("ordinal", F.shiftleft("ordinal", 16) + F.col("position"))
+    found = extract.findings(extract.eligible(m)).withColumn("ordinal", F.struct("ordinal", "position"))
     # As in a scan, findings are stored once and read by report.
     f = ingest.snapshots(scratch(spark, "reports"))("findings", found)
     own = lambda name, field, *more: f.filter(F.col("report") == name).select("asset_url", F.col("value").alias(field), *more, "ordinal")
@@ -152,7 +152,7 @@ def ingested(spark, d, needed: tuple[str, ...]) -> dict[str, DataFrame]:
         keep, now = ingest.snapshots(scratch(spark, "ingest")), F.timestamp_seconds(F.lit(86_400 * day))
         entries = _entries(spark, d, which, status)
         if needed:
-            tables = ingest.ingest(tables, entries, _reports(spark, d, which), now, lambda n, df, keep=keep: keep(n, df) if n in ("assets", *needed) else df)
+            tables = ingest.ingest(tables, entries, _reports(spark, d, which), now, keep, needed)
         else:
             tables = tables | {"assets": keep("assets", ingest.upsert_assets(tables["assets"], entries, now))}
     return tables

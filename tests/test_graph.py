@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from assetloom import storage
 from assetloom.operators import graph, plugins
 from assetloom.schemas import MODELS
 
@@ -124,15 +125,57 @@ def test_plugin_runs(spark):
     seen = []
     r = plugins.Registry([plugin("good", seen=seen), plugin("bad", fail=True, seen=seen), plugin("after", ["bad"], seen=seen)])
     results, runs = plugins.run(r, spark.createDataFrame([("javascript",)], "type string"), plugins.Context("s"))
-    assert list(results) == ["good"] and runs == [("good", "1", "completed", 1), ("bad", "1", "failed", 0), ("after", "1", "skipped", 0)]
+    assert list(results) == ["good"] and [(x.plugin_id, x.plugin_version, x.status, x.warning_count) for x in runs] == [("good", "1", "completed", 1), ("bad", "1", "failed", 0), ("after", "1", "skipped", 0)]
     assert seen == ["good", "bad"]
 
 
+@pytest.mark.parametrize(("value", "fits"), [({"n": 3}, True), ({"n": 3, "s": "a"}, True), ({}, False), ({"n": 0}, False), ({"n": True}, False), ({"n": "3"}, False), ({"n": 3, "s": "c"}, False), ({"n": 3, "x": 1}, False), ({"n": 3, "l": [1, "a"]}, False), ({"n": 3, "l": [1, 2]}, True), ([], False)])
+def test_configurations_are_checked(value, fits):
+    schema = {"type": "object", "required": ["n"], "additionalProperties": False, "properties": {"n": {"type": "integer", "minimum": 1}, "s": {"enum": ["a", "b"]}, "l": {"type": "array", "items": {"type": ["integer", "null"]}}}}
+    if fits:
+        plugins.check(value, schema)
+    else:
+        with pytest.raises(ValueError, match="configuration"):
+            plugins.check(value, schema)
+
+
+def test_what_plugins_find_is_stored_and_lazy_failures_are_theirs(spark, tmp_path):
+    class Finder(plugins.Plugin):
+        id, version = "finder", "2"
+
+        def run(self, assets, context):
+            nodes = graph.observations(models(spark, [("1", "/a"), ("2", "/b")]), "Endpoint", context.scan_id, F.lit(1).cast("long"))
+            k = {r.id: r.natural_key for r in nodes.collect()}
+            pairs = spark.createDataFrame([("s", "Endpoint", k["1"], "reaches", "Endpoint", k["2"], None)], "scan_id string, source_type string, source_key string, relationship string, target_type string, target_key string, evidence string")
+            return plugins.Result([nodes], [pairs], ["w"])
+
+    class Lazy(plugins.Plugin):
+        id = "lazy"
+
+        def run(self, assets, context):
+            return plugins.Result([assets.select(F.raise_error(F.lit("late")).alias("id"))])
+
+    class Strict(plugins.Plugin):
+        id = "strict"
+        schema = {"type": "object", "required": ["n"]}
+
+        def initialize(self, context):
+            raise AssertionError("not with this configuration")
+
+    assets = spark.createDataFrame([("javascript",)], "type string")
+    for scans in (1, 2):
+        runs = plugins.run_and_store(plugins.Registry([Lazy(), Strict(), Finder()]), assets, plugins.Context("s"), str(tmp_path))
+        assert [(r.plugin_id, r.status) for r in runs] == [("lazy", "failed"), ("strict", "failed"), ("finder", "completed")] and "lacks 'n'" in runs[1].message
+        t = storage.open_tables(spark, str(tmp_path))
+        assert t["graph_nodes"].count() == 2 and [(r.source_id, r.target_id) for r in t["graph_edges"].collect()] == [("1", "2")]
+        assert sorted((r.id, r.status, r.warning_count) for r in t["plugin_runs"].collect())[-1] == (3 * scans, "completed", 1)
+
+
 def test_plugin_levels_in_a_table(spark):
     df = spark.createDataFrame([("a", ["b"]), ("b", []), ("c", ["a", "b"])], "id string, dependencies array<string>")
     assert sorted(map(tuple, plugins.order_levels(df).collect())) == [("a", 1), ("b", 0), ("c", 2)]
     with pytest.raises(ValueError, match="depend on each other"):
-        plugins.order_levels(spark.createDataFrame([("a", ["b"]), ("b", ["a"])], "id string, dependencies array<string>"), max_depth=5)
+        plugins.order_levels(spark.createDataFrame([("a", ["b"]), ("b", ["a"])], "id string, dependencies array<string>"))
 
 
 def test_a_long_chain_of_plugins_is_no_cycle(spark):

@@ -1,3 +1,4 @@
+import csv
 import json
 import os
 
@@ -11,6 +12,7 @@ from assetloom import config, schemas, storage
 from assetloom.operators import extract, ingest, summary
 from assetloom.operators.ordinals import dense, first_seen
 from assetloom.sources import readers, sinks
+from assetloom.streaming import manifests
 
 BODY = "import React from 'react'; const a = require('axios');\nfetch('/api/users'); new WebSocket('wss://socket.example.test'); fetch('https://api.example.test/v1'); useState();"
 
@@ -32,7 +34,7 @@ URL = "https://app.example.test/app.js"
 def extracted(spark, tmp_path, items, bodies):
     path = scan(tmp_path, items, bodies)
     errors = cli.run_extract(spark, readers.read_manifest(spark, path), str(tmp_path / "bodies"), str(tmp_path / "out"))
-    return errors, {n: [tuple(r) for r in readers.report(spark, str(tmp_path / "out" / "reports"), n).collect()] for n in schemas.REPORTS}
+    return errors, {n: [tuple(r)[1:] for r in readers.report(spark, str(tmp_path / "out" / "reports"), n).orderBy("ordinal").collect()] for n in schemas.REPORTS}
 
 
 def test_golden_scan(spark, tmp_path):
@@ -74,14 +76,42 @@ def test_seeds_and_url_lists(spark, tmp_path):
     assert [r.url for r in readers.url_list(spark, str(tmp_path / "urls.txt")).orderBy("ordinal").collect()] == ["http://a/1.js", "http://b", "https://c", "http://a/1.js", "http://d"]
 
 
-def test_ordinals_of_many_files_are_unique_and_in_order(spark):
-    texts = spark.createDataFrame([(f"http://{i}/a\nhttp://{i}/b",) for i in range(400)], "value string").repartition(200)
-    rows = readers.url_lines(texts).orderBy("ordinal").collect()
-    assert len({r.ordinal for r in rows}) == 800 and all(r.ordinal >= 0 for r in rows)
-    assert all(x.url[:-1] == y.url[:-1] and x.url < y.url for x, y in zip(rows[::2], rows[1::2], strict=True))
-    many = spark.createDataFrame([(f'[{{"url": "{i}a"}}, {{"url": "{i}b"}}]',) for i in range(100)], "value string").repartition(80)
-    rows = readers.parse_manifest(many).orderBy("ordinal").collect()
-    assert len({r.ordinal for r in rows}) == 200 and all(x.url[:-1] == y.url[:-1] for x, y in zip(rows[::2], rows[1::2], strict=True))
+def test_files_follow_one_another_by_path_whatever_their_sizes(spark, tmp_path):
+    (tmp_path / "lists").mkdir()
+    (tmp_path / "lists" / "1.txt").write_text("http://a/1\nhttp://b/1\n")
+    (tmp_path / "lists" / "2.txt").write_text("".join(f"http://x/{i}\n" for i in range(5000)) + "http://a/1\n")
+    (tmp_path / "lists" / "3.txt").write_text("http://b/2\n")
+    seen = first_seen(readers.url_list(spark, str(tmp_path / "lists"))).orderBy("position").collect()
+    assert [r.url for r in seen[:3]] == ["http://a/1", "http://b/1", "http://x/0"] and seen[-1].url == "http://b/2" and [r.position for r in seen] == list(range(5003))
+    assert readers.line_count(spark, str(tmp_path / "lists")).first().n == 5004
+    for form, read in (("json", readers.read_manifest_lines), ("array", readers.read_manifest)):
+        (tmp_path / form).mkdir()
+        for name, size in (("a", 1), ("b", 3000), ("c", 2)):
+            rows = [json.dumps({"url": f"{name}{i:04d}"}) for i in range(size)]
+            (tmp_path / form / f"{name}.json").write_text("\n".join(rows) if form == "json" else "[" + ",".join(rows) + "]")
+        urls = [r.url for r in read(spark, str(tmp_path / form)).orderBy("ordinal").collect()]
+        assert urls == sorted(urls) and len(urls) == 3003
+
+
+def test_the_newest_drop_of_a_batch_wins_whatever_its_size(spark, tmp_path):
+    folder, drops = str(tmp_path / "tables"), tmp_path / "drops"
+    drops.mkdir()
+
+    def drop(name, time, rows):
+        path = drops / name
+        path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(path, (time, time))
+
+    pad = [{"url": f"pad{i}", "error": "x" * 200} for i in range(500)]
+    drop("z", 1000, [{"url": "u", "status": "old"}, {"url": "v", "status": "old"}])
+    drop("b", 2000, [*pad, {"url": "u", "status": "newer"}, {"url": "v", "status": "newer"}])
+    drop("a", 3000, [{"url": "u", "status": "first line"}, {"url": "u", "status": "newest"}])
+    manifests.follow(manifests.drops(spark, str(drops)), folder, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    rows = {r.url: (r.id, r.status) for r in storage.open_table(spark, folder, "assets").collect()}
+    assert len(rows) == 502 and rows["u"] == (1, "newest") and rows["v"] == (2, "newer") and rows["pad0"] == (3, "discovered")
+    drop("c", 4000, [{"url": "v", "status": "last"}])
+    manifests.follow(manifests.drops(spark, str(drops)), folder, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    assert {r.url: r.status for r in storage.open_table(spark, folder, "assets").collect()}["v"] == "last"
 
 
 def test_first_seen_and_dense_positions(spark):
@@ -127,7 +157,8 @@ def test_ingest_is_idempotent_keeps_stale_rows_and_drops_unknown_assets(spark, t
     figures = summary.summary(twice["assets"], twice["endpoints"], twice["technologies"])
     assert figures == {"total_assets": 2, "javascript_count": 1, "endpoint_count": 1, "technology_count": 1, "file_statistics": {"javascript": 1, "other": 1}}
     assert sinks.summary_markdown(figures).endswith("- javascript: 1\n- other: 1\n")
-    text = sinks.csv_text(sinks.assets_csv(twice["assets"]))
+    sinks.write_csv(sinks.assets_csv(twice["assets"]), f"file://{tmp_path}/a.csv")
+    text = (tmp_path / "a.csv").read_bytes().decode()
     assert text.startswith("url,local_path,asset_type") and text.count("\r\n") == 3
     left = ingest.cascade(twice | {"assets": twice["assets"].filter("id = 2")})
     assert left["urls"].count() == 0 and left["technologies"].count() == 1
@@ -166,10 +197,22 @@ def test_unknown_reports_are_errors(spark):
         sinks.by_report(bad)["urls"].collect()
 
 
-def test_json_outputs(spark):
+def test_json_outputs(spark, tmp_path):
     df = spark.sql("SELECT 1 AS a, NULL AS b, 2 AS a, 'é' AS c")
     assert [r.value for r in sinks.json_lines(df).collect()] == ['{"a":1,"b":null,"c":"é"}']
-    assert sinks.json_array(spark.createDataFrame([(2, "b"), (1, "é")], "o int, v string"), "o") == '[{"v":"é"},{"v":"b"}]'
+    rows = spark.createDataFrame([(i, f"é{i}" if i % 2 else None) for i in range(100)], "o int, v string").repartition(7)
+    sinks.write_json_array(rows, f"file://{tmp_path}/a.json", "o")
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"v": f"é{i}" if i % 2 else None} for i in range(100)]
+    sinks.write_json_array(rows.limit(0), f"file://{tmp_path}/a.json", "o")
+    assert json.loads((tmp_path / "a.json").read_text()) == [] and [n for n in os.listdir(tmp_path) if not n.endswith(".crc")] == ["a.json"]
+
+
+def test_csv_is_what_a_csv_reader_takes(spark, tmp_path):
+    values = ["plain", None, "", "a,b", 'say "x"', "two\r\nlines", " blanks ", "é\\", "#x"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v string").orderBy("id")
+    sinks.write_csv(df, f"file://{tmp_path}/a.csv")
+    with open(tmp_path / "a.csv", newline="", encoding="utf-8") as f:
+        assert list(csv.reader(f)) == [["id", "v"], *[[str(i), v or ""] for i, v in enumerate(values)]]
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -182,27 +225,56 @@ def test_command_line(spark, tmp_path, capsys):
         assert cli.main(["--output", out, "ingest", path]) == 0
     assert cli.main(["--output", out, "report"]) == 0
     assert json.loads((tmp_path / "o" / "reports" / "summary.json").read_text())["total_assets"] == 1
+    assert (tmp_path / "o" / "reports" / "summary.md").read_text().startswith("# Asset summary") and (tmp_path / "o" / "reports" / "assets.csv").read_text().count(URL) == 1
+    assert [x["url"] for x in json.loads((tmp_path / "o" / "assets.json").read_text())] == ["https://h/a.js", "https://h/b.json"]
     capsys.readouterr()
     assert cli.main(["--output", out, "query", "SELECT url, asset_type, mime_type FROM assets"]) == 0
     assert json.loads(capsys.readouterr().out) == {"url": URL, "asset_type": "javascript", "mime_type": None}
-    with pytest.raises(SystemExit):
-        cli.main(["--output", out, "ingest", str(tmp_path / "none.json")])
+    (tmp_path / "c.yaml").write_text(f"threads: 3\ndatabase:\n  path: {out}/recon.db\n")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert cli.main(["--config", str(tmp_path / "c.yaml"), "query", "SELECT count(*) AS n FROM assets"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"n": 1} and spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    (tmp_path / "bad.yaml").write_text("threads: 0\n")
+    for bad in (["--output", out, "ingest", str(tmp_path / "none.json")], ["--config", str(tmp_path / "bad.yaml"), "report"], ["report"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
 
 
 def test_migrations_are_applied_once_and_touch_nothing_that_is_there(spark, tmp_path):
     folder = str(tmp_path / "tables")
-    spark.createDataFrame([(1, 2, "f", "info", "v", None)], schemas.TABLES["findings"]).write.parquet(f"{folder}/findings")
+    storage.swap(spark.createDataFrame([(1, 2, "f", "info", "v", None)], schemas.TABLES["findings"]), folder, "findings")
     assert storage.migrate(spark, folder) == tuple(v for v, _ in schemas.MIGRATIONS) and storage.migrate(spark, folder) == ()
     tables = storage.open_tables(spark, folder)
     assert set(tables) == set(schemas.TABLES) and tables["findings"].count() == 1 and tables["graph_edges"].schema == schemas.TABLES["graph_edges"]
     assert sorted(r.version for r in tables["schema_migrations"].collect()) == [v for v, _ in schemas.MIGRATIONS]
 
 
-def test_snapshots_are_swapped_whole(spark, tmp_path):
-    path = str(tmp_path / "t")
-    storage.swap(spark.range(3), path)
-    storage.swap(spark.read.parquet(path).unionByName(spark.range(10, 12)), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 10, 11] and os.listdir(tmp_path) == ["t"]
+def test_versions_change_whole_and_old_ones_can_go(spark, tmp_path):
+    folder = str(tmp_path)
+    storage.migrate(spark, folder)
+    finding = lambda i: spark.createDataFrame([(i, 2, "f", "info", "v", None)], schemas.TABLES["findings"])
+    storage.swap(finding(1), folder, "findings")
+    both = storage.swap(storage.open_table(spark, folder, "findings").unionByName(finding(2)), folder, "findings")
+    assert sorted(r.id for r in both.collect()) == [1, 2]
+    before = storage.current(spark, folder)
+    lost = storage.stage(finding(3), folder, "findings")  # a writer that ends before it publishes
+    assert storage.current(spark, folder) == before and storage.open_table(spark, folder, "findings").count() == 2 and storage.exists(spark, lost)
+    with pytest.raises(OSError):  # a writer that is late
+        storage.put(spark, f"{folder}/_versions/{3:012d}.json", "{}", replace=False)
+    assert storage.vacuum(spark, folder, 1) == 2 and storage.open_table(spark, folder, "findings").count() == 2
+    assert storage.open_table(spark, folder, "assets").count() == 0 and storage.vacuum(spark, folder, 1) == 0
+
+
+def test_intermediate_tables_are_deleted_by_who_made_them(spark):
+    outer = storage.written(spark.range(3), "outer")
+    with storage.released(spark):
+        kept = storage.written(spark.range(4), "kept")
+        with storage.released(spark):
+            inner = storage.written(spark.range(5), "inner")
+            assert inner.count() == 5
+        assert kept.count() == 4 and not storage.exists(spark, inner.inputFiles()[0])
+    assert outer.count() == 3 and not storage.exists(spark, kept.inputFiles()[0])
 
 
 def test_configuration():
