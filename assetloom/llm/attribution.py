@@ -39,7 +39,7 @@ def default_path() -> str:
 
 @cache
 def encoder(path: str):
-    """(encoding, byte length of each token) of a file of ranks."""
+    """(encoding, the same for text that is one word, byte length of each token) of a file of ranks."""
     import public_tokenizers
     import tiktoken
 
@@ -47,11 +47,12 @@ def encoder(path: str):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     lengths[list(ranks.values())] = [len(t) for t in ranks]
-    return tiktoken.Encoding("sections", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+    make = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return make("sections", public_tokenizers.PATTERN), make("one-word", "(?s).+"), lengths
 
 
-def encode(encoding, text: str) -> list[int]:
-    """Ids of the whole text.
+def encode(encoding, one_word, text: str) -> list[int]:
+    """Ids of the whole text.  one_word: codes a text as a single word.
 
     In a run of white space the pattern leaves the last character for what follows, and takes the
     rest as one word; at the end of the text it takes the whole run.
@@ -60,7 +61,7 @@ def encode(encoding, text: str) -> list[int]:
     for run in _RUN.finditer(text):
         out += encoding.encode_ordinary(text[at : run.start()])
         at = run.end() if run.end() == len(text) else run.end() - 1
-        out += encoding._encode_single_piece(text[run.start() : at])
+        out += one_word.encode_ordinary(text[run.start() : at])
     return out + encoding.encode_ordinary(text[at:])
 
 
@@ -94,18 +95,19 @@ def attribute(spans: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarra
 def section_tokens(text: Column, rule: str = "most", path: str | None = None) -> Column:
     """Array of structs (section, start_byte, end_byte, n_tokens, n_crossing), one for each line of the whole text.
 
-    Null counts as empty: one section without tokens.  Bytes that aren't UTF-8 count as U+FFFD.
+    Null counts as empty: one section without tokens.  Bytes that aren't UTF-8 count as U+FFFD.  A very
+    long text is held whole by its task, with its spans; nothing of it is left out.
     """
     path = path or default_path()
 
     @F.arrow_udf(T.ArrayType(SECTION))
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoding, lengths = encoder(path)
+        encoding, one_word, lengths = encoder(path)
         for a in batches:
             offsets, columns = [0], [[] for _ in range(5)]
             for text in texts(a):
                 ends = lines(text.encode())
-                n, crossing = attribute(np.cumsum(lengths[encode(encoding, text)]), ends, rule) if text else (np.zeros(1, np.int64),) * 2
+                n, crossing = attribute(np.cumsum(lengths[encode(encoding, one_word, text)]), ends, rule) if text else (np.zeros(1, np.int64),) * 2
                 for c, x in zip(columns, (np.arange(len(ends)), np.concatenate([[0], ends[:-1]]), ends, n, crossing), strict=True):
                     c.append(x)
                 offsets.append(offsets[-1] + len(ends))

@@ -26,6 +26,10 @@ from pyspark.sql import types as T
 from .shared import each_text
 from .wordcode import WordCoder, default_path, latin_words, library
 
+#: Pairs whose compatibility a worker remembers.  Beyond, the table is filled anew: memory, not results, depends on this.
+KEPT_PAIRS = 1_000_000
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -126,6 +130,8 @@ class BacktrackingBPE:
                         break
                     ok = compatible.get((before, token))
                     if ok is None:
+                        if len(compatible) >= KEPT_PAIRS:
+                            compatible.clear()
                         ok = compatible[before, token] = self._stands(before, token)
                     if ok:
                         break

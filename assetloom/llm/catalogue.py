@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import attribution, balltree, bpe, exact_dedup, hilbert, licences, packing, quality, simhash, warc
 from .shared import reachable
 
@@ -18,7 +16,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in _MODULES:
         found |= module.QUERIES
-    found["pipeline"] = corpus_pipeline.run
     return {name: (lambda spark, sf_dir, query=query: query(reachable(spark), sf_dir)) for name, query in found.items()}
 
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 
 class Forest:
@@ -44,33 +44,40 @@ class Forest:
         return both[:, 0], both[:, 1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Over (u, v), u > v: each upper end is hung onto the smallest node around its lower end.
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Over (u, v), u > v: each upper end is hung onto the smallest node around its lower end.  Also the look-up table.
 
     Only nodes with a smaller neighbour are looked up, and the look-up table is written first: the
     join then has an exchange of its own on both sides, so the edges of a hub can be split.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lows = written(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").select(F.col("u").alias("v"), "m"), "lows")
-    return edges.join(lows, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+    return edges.join(lows, "v", "left").select("u", F.coalesce("m", "v").alias("v")), lows
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Over (u, v), u > v: the lower neighbours of each node, and it itself, are hung onto the smallest of them."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Over (u, v), u > v: the lower neighbours of each node, and it itself, are hung onto the smallest of them.  Also the look-up table."""
     lows = written(edges.groupBy("u").agg(F.min("v").alias("m")), "lows")
     hung = edges.join(lows, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return lows.select("u", F.col("m").alias("v")).unionByName(hung)
+    return lows.select("u", F.col("m").alias("v")).unionByName(hung), lows
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v: long) but the roots; root: the component's smallest node.
 
-    Loops and repeated edges are allowed; an empty edge list gives no row.
+    Loops and repeated edges are allowed; an empty edge list gives no row.  A round's tables are
+    deleted when the next round's are written.
     """
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = written(now, "edges"), None
     while True:
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        large, lows = _large_star(now)
+        between = written(large.distinct(), "edges")
+        small, more = _small_star(between)
+        after = written(small.distinct(), "edges")
+        for old in (now, lows, between, more):
+            dropped(old)
+        now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

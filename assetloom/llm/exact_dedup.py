@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import batch, col, squeeze, written
+from .shared import batch, col, spill_folder, squeeze, written
 
 #: Distinct contents held in memory by a task before it spills.
 BUDGET_BYTES = 64 << 20
@@ -79,7 +79,7 @@ def grace(records: Iterator[tuple[int, bytes, object]], merge: Callable, budget:
             if files is None:
                 table.merge(h, content, value, merge)
                 if table.size > budget and len(table.entries) > 1 and depth < MAX_DEPTH:
-                    folder = tempfile.mkdtemp(prefix="grace-")
+                    folder = tempfile.mkdtemp(prefix="grace-", dir=spill_folder())
                     files = [open(os.path.join(folder, str(i)), "w+b") for i in range(FANOUT)]
                     for entry in table.entries:
                         pickle.dump(tuple(entry), files[entry[0] >> shift & 15], -1)

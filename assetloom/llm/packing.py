@@ -76,7 +76,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     A document is its ids by the tokenizers library followed by ``end_id``; only those longer than
     ``capacity`` are cut.  Null and empty texts are the one token ``end_id``.  Rows need not be
-    unique and keys may be null: each row is packed.  An empty table gives no row.
+    unique and keys may be null or of any type: each row is packed.  An empty table gives no row.
     """
     path = path or default_path()
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *[T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("final", T.BooleanType()))]])
@@ -102,7 +102,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)]
         if rows:
-            rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+            rows.sort(key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1:]))
             yield placed([list(c) for c in zip(*rows, strict=True)], 1 << 62 | TaskContext.get().partitionId() << 32, capacity)
 
     packed = written(df.select(col(key), col(text)).mapInArrow(first, schema), "packing")

@@ -1,23 +1,24 @@
-"""What the operators share: the cluster's shared folder, written intermediate tables, Arrow helpers.
+"""What the operators share: intermediate tables, spill files, row identity, Arrow helpers.
 
 Intermediate tables are Parquet in the folder that the cluster names in ``spark.checkpoint.dir``,
 so a lost executor never takes the only copy of a result along, and a re-run of a task reads the
-same rows.  Only where that setting is absent (local tests) a folder is made on this machine.
+same rows.  ``released`` deletes those made inside it.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_own_folder: list[str] = []
-_written: list[str] = []
+from ..storage import delete, released, scratch, written
+
+__all__ = ["ASCII_SPACE", "batch", "col", "delete", "dropped", "each_text", "fresh", "raw", "reachable", "released", "row_hash", "scratch", "spill_folder", "squeeze", "texts", "written"]
 
 #: Runs of these six characters separate words wherever a contract says ``[\\x20\\x09-\\x0D]+``;
 #: they are also what ``bytes.split()`` splits at.
@@ -38,41 +39,29 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; one of our own only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="assetloom-"))
-    return "file://" + _own_folder[0]
+def dropped(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that nothing is read from any more."""
+    if files := df.inputFiles():
+        delete(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    path = f"{shared_folder(spark)}/assetloom/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
+def spill_folder() -> str | None:
+    """A local directory of Spark's for a task's spill files; the system's where Spark names none."""
+    named = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return named[os.getpid() % len(named)] if named else None
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage, fixes the rows.
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))
 
-    The result's columns can be pruned and its filters pushed down, unlike those of a checkpoint.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far; results not yet stored become unreadable."""
-    jvm, n = spark._jvm, 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row. Maps and variants, which have no hash of their own, count as their JSON text."""
+    return F.xxhash64(*[F.to_json(F.struct(col(f.name))) if _holds_map(f.dataType) else col(f.name) for f in df.schema])
 
 
 def fresh(df: DataFrame, base: str) -> str:
