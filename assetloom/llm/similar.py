@@ -1,11 +1,14 @@
-"""Near-dedup by the similarity of five-word shingles: MinHash candidates, each verified on the texts.
+"""SimHash near-dedup at a similarity: the byte-position index, widened by MinHash keys, each pair verified on the texts.
 
-The similarity of two texts is the Jaccard index of their sets of shingles.  A minimum of a hash
-over a set agrees between two sets with that probability, so a text is posted under ``BANDS`` keys
-of ``ROWS`` minima each.  Two texts of similarity 0.8 share no key with probability
-(1 - 0.8 ** 6) ** 48, 5 in ten million; more similar ones miss each other more rarely still.
+The similarity of two texts is the Jaccard index of their sets of five-word shingles.  Pairs are
+proposed in two ways.  The index of ``simhash.links`` tallies the bytes that two fingerprints of
+these sets share and proposes those within a few bits.  That is sure for the closest only: at a
+similarity of 0.8 fingerprints differ in about 10 of 64 bits, and beyond 7 no byte need be shared.
+So a text is also posted under ``BANDS`` keys of ``ROWS`` minima of a hash over its set, each of
+which two sets share with a probability of their similarity: two of 0.8 share no key with
+probability (1 - 0.8 ** 6) ** 48, 5 in ten million; more similar ones miss each other more rarely.
 
-Keys only propose.  Texts that are connected by shared keys form a group, and the pairs of a group
+Proposals only propose.  Texts that are connected by them form a group, and the pairs of a group
 are compared on their full sets; those that reach the similarity are links.  A large group is cut
 into blocks, and each pair of blocks is a piece of work of its own, so no group needs one task.
 Texts with equal sets are one node.
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import Forest, components
-from .shared import col, fresh, raw, written
-from .simhash import FOREST_NODES, keep_heads
+from .shared import col, fresh, raw, row_hash, written
+from .simhash import FOREST_NODES, keep_heads, links
 
 BANDS, ROWS = 48, 6
 #: Members of a block, and members from which minima are compared before sets.
@@ -78,21 +81,31 @@ def minima(shingle: np.ndarray) -> np.ndarray:
     return found
 
 
+def majority(shingle: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, unsigned: bit set if it is in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingle), 65_536):
+        part = shingle[at : at + 65_536].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(shingle), bitorder="little").tobytes(), "little")
+
+
 def sketch(text: Column, words: int = 5) -> Column:
-    """An array for a string column: the hash of its set of shingles, then its keys."""
+    """An array for a string column: the hash of its set of shingles, the set's fingerprint, then its keys."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
-            out = np.empty((len(a), BANDS + 1), np.uint64)
+            out = np.empty((len(a), BANDS + 2), np.uint64)
             for i, t in enumerate(raw(a)):
                 own = shingles(t, words)
                 out[i, 0] = xxhash.xxh64_intdigest(own.tobytes())
+                out[i, 1] = majority(own)
                 key = np.arange(BANDS, dtype=np.uint64)
                 for part in minima(own).reshape(BANDS, ROWS).T:
                     key = _mixed(key * _STEP + part)
-                out[i, 1:] = key
-            offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * np.int32(BANDS + 1))
+                out[i, 2:] = key
+            offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * np.int32(BANDS + 2))
             yield pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1).view(np.int64)))
 
     return of(text.cast("binary"))
@@ -192,19 +205,31 @@ def verified(dealt: DataFrame, words: int, similarity: float) -> DataFrame:
     return dealt.select(*keys, "side", "fp", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long")
 
 
-def similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def indexed(nodes: DataFrame, bits: int) -> DataFrame:
+    """Edges (u, v) between nodes (fp) whose fingerprints (sim) the byte-position index links, and a tree over nodes of one fingerprint."""
+    first = written(nodes.groupBy("sim").agg(F.min("fp").alias("first")), "similar-sims")
+    same = nodes.select("fp", "sim").join(first, "sim").filter("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    near = links(first.select(F.col("sim").alias("fp")), bits)
+    for end in ("u", "v"):
+        near = near.join(first.select(F.col("sim").alias(end), F.col("first").alias(f"_{end}")), end)
+    return same.unionByName(near.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+
+
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 4) -> DataFrame:
     """(key, row_hash, component) for each row of ``df``; rows link if their similarity is at least ``similarity``.
 
-    Null text is the empty text, and texts without a word are similar to each other only.
+    bits: the distance up to which the byte-position index proposes.  Null text is the empty text,
+    and texts without a word are similar to each other only.  Rows need not be unique, and very long
+    texts are read whole.  An empty table gives no row.
     """
     if not 0.8 <= similarity <= 1:
         raise ValueError("the number of keys is meant for similarities from 0.8")
-    row = F.xxhash64(*[col(c) for c in df.columns])
+    row = row_hash(df)
     slim = df.select(col(key).alias("key"), row.alias("row_hash"), sketch(col(text), words).alias("s"))
-    slim = written(slim.select("key", "row_hash", F.col("s")[0].alias("fp"), F.slice("s", 2, BANDS).alias("bands")), "similar")
-    nodes = slim.groupBy("fp").agg(F.min(F.struct("key", "row_hash", "bands")).alias("h"))
+    slim = written(slim.select("key", "row_hash", F.col("s")[0].alias("fp"), F.col("s")[1].alias("sim"), F.slice("s", 3, BANDS).alias("bands")), "similar")
+    nodes = slim.groupBy("fp").agg(F.min(F.struct("key", "row_hash", "sim", "bands")).alias("h"))
     nodes = written(nodes.select("fp", "h.*"), "similar-nodes")
-    rough = components(proposed(nodes.select("fp", F.explode("bands").alias("band"))))
+    rough = components(proposed(nodes.select("fp", F.explode("bands").alias("band"))).unionByName(indexed(nodes, bits)))
     members = written(rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct()), "similar-members")
     large = written(members.groupBy("root").count().filter(F.col("count") > BLOCK).select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "similar-large")
     members = members.join(large, "root", "left").select(F.col("node").alias("fp"), "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
@@ -222,6 +247,10 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return slim.select("key", "row_hash", "fp").join(labels, "fp").select("key", "row_hash", "component")
 
 
-def keep_dissimilar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` without similar ones: of each component one row of the smallest key stays, as ``simhash.keep_one`` does."""
-    return keep_heads(df, key, similar(df, key, text, words, similarity))
+def keep_dissimilar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 4) -> DataFrame:
+    """The rows of ``df`` without similar ones: of each component one row of the smallest key stays, as ``simhash.keep_one`` does.
+
+    Columns come through as they were, of whatever type and name; null keys come last, and rows that
+    agree in every column count as one.  Null, empty and very long texts: see ``similar``.
+    """
+    return keep_heads(df, key, similar(df, key, text, words, similarity, bits))
