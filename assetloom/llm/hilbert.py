@@ -28,11 +28,6 @@ _VALUE_BITS, _ROW_BITS = 32, 16
 _SEGMENTS, _MOST_SEGMENTS = 4, 4096
 
 
-def leading_number(text: Column) -> Column:
-    """A string's first seven bytes as a number: in the order of the strings, so quantiles apply. Null stays null."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "utf-8")), 1, 14), 14, "0"), 16, 10).cast("long")
-
-
 def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str) -> DataFrame:
     """``df`` with the curve index of its cell (columns ``axes``, each from 0 to 2**bits - 1) as column ``out``.
 
@@ -63,8 +58,32 @@ def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str) -> DataFr
     return df.withColumn(out, index).drop(*x, f"{out}_t")
 
 
-def cells(df: DataFrame, dimensions: dict[str, Column], bits: int) -> tuple[DataFrame, list[str]]:
-    """``df`` with each dimension (a number, null lowest) as its step from 0 to 2**bits - 1, at quantiles over all rows; their names.
+def text_steps(df: DataFrame, dimensions: list[str], steps: int) -> dict[str, list[tuple[str, int]]]:
+    """For each string column its cuts: (least value, step) of each step that a value has, whole values compared.
+
+    A value's step is the share of rows with a smaller value, out of ``steps``.  Values are counted
+    first, so a hot one is one row from then on; they are put in order by ranges, and the ranges' counts
+    (as many as there are shuffle partitions) give what comes before each.  Nulls have no step.
+    """
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(c).alias("value")) for i, c in enumerate(dimensions)])).alias("x")).select("x.*").filter("value IS NOT NULL")
+    counted = values.groupBy("d", "value").agg(F.count("*").alias("n"))
+    ranged = written(counted.repartitionByRange("d", "value").withColumn("part", F.spark_partition_id()), "hilbert-ranges")
+    total, before = [0] * len(dimensions), [[] for _ in dimensions]
+    for d, part, n in sorted(map(tuple, ranged.groupBy("d", "part").agg(F.sum("n")).collect())):
+        before[d] += [total[d]] * (part + 1 - len(before[d]))
+        total[d] += n
+    own = lambda lists: F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in ns or [0]]) for ns in lists]), F.col("d") + 1)
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("d", "part").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.element_at(own(before), F.col("part") + 1) + inside
+    stepped = ranged.withColumn("place", place).withColumn("all", F.element_at(own([[n] for n in total]), 1)).withColumn("step", F.expr(f"({steps} * place) div all"))
+    cuts: dict[str, list[tuple[str, int]]] = {}
+    for d, step, value in sorted(map(tuple, stepped.groupBy("d", "step").agg(F.min("value")).collect())):  # as many as there are steps
+        cuts.setdefault(dimensions[d], []).append((value, step))
+    return cuts
+
+
+def cells(df: DataFrame, texts: dict[str, str], numbers: dict[str, Column], bits: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with each dimension (name -> string column, name -> number; null lowest) as its step from 0 to 2**bits - 1, at quantiles over all rows; their names.
 
     A value that spans several quantiles skips their steps, so few values still use the whole axis.
     A dimension without any value is left out: it tells no rows apart, and the optimizer would
@@ -72,12 +91,19 @@ def cells(df: DataFrame, dimensions: dict[str, Column], bits: int) -> tuple[Data
     """
     steps = 1 << bits
     cuts = [i / steps for i in range(1, steps)]
-    found = df.agg(*[F.percentile_approx(c, cuts, 1000).alias(n) for n, c in dimensions.items()]).first()
-    there = [n for n in dimensions if found[n]]
+    by_text = text_steps(df, list(texts.values()), steps) if texts else {}
+    found = df.agg(*[F.percentile_approx(c, cuts, 1000).alias(n) for n, c in numbers.items()]).first() if numbers else {}
+    there = [n for n, c in texts.items() if c in by_text] + [n for n in numbers if found[n]]
     for name in there:
-        c, step = dimensions[name], F.lit(0)
-        for cut, n in sorted(Counter(found[name] or ()).items()):
-            step = step + F.when(c > F.lit(cut), F.lit(n)).otherwise(F.lit(0))
+        step = F.lit(0)
+        if name in texts:
+            least = 0
+            for value, at in by_text[texts[name]]:
+                step = step + F.when(F.col(texts[name]) >= F.lit(value), F.lit(at - least)).otherwise(F.lit(0))
+                least = at
+        else:
+            for cut, n in sorted(Counter(found[name] or ()).items()):
+                step = step + F.when(numbers[name] > F.lit(cut), F.lit(n)).otherwise(F.lit(0))
         df = df.withColumn(name, step)
     return df, there
 
@@ -97,21 +123,20 @@ def _passed(value: Column, cuts: list[int]) -> Column:
 def hilbert_shards(df: DataFrame, key: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("lang", "source"), shards: int = 16, bits: int = 5) -> DataFrame:
     """(key, size, text_crc32, shard, slot, curve) for each row of ``df``.
 
-    Dimensions are the named string columns and the text's size.  Shards are runs of the curve
-    with row counts at most one apart; slot counts the rows of a shard from 0 along the curve.
-    size: the text's UTF-8 bytes plus 1; a null text counts as empty, its text_crc32 is 0 like
+    Dimensions are the named columns, compared as whole strings, and the text's size.  Shards are runs
+    of the curve with row counts at most one apart; slot counts the rows of a shard from 0 along the
+    curve.  size: the text's UTF-8 bytes plus 1; a null text counts as empty, its text_crc32 is 0 like
     that of no bytes.  Null dimensions are lowest, and a null key is a value like others.  Rows
-    need not be unique: rows that agree in all of these may take each other's place.  An empty
-    table gives no row.
+    need not be unique: rows that agree in all of these may take each other's place.  Very long
+    texts are read whole, and other columns, whatever their names, play no part.  An empty table
+    gives no row.
     """
     if (len(dimensions) + 1) * bits + _VALUE_BITS + _ROW_BITS > 63:
         raise ValueError("too many dimensions or bits for a sort key of 63 bits")
     body = F.coalesce(col(text).cast("binary"), F.lit(b""))
-    slim = df.select(col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("row"), *[leading_number(col(d)).alias(f"d{i}") for i, d in enumerate(dimensions)])
+    slim = df.select(col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("row"), *[col(d).cast("string").alias(f"d{i}") for i, d in enumerate(dimensions)])
     slim = written(slim, "hilbert")
-    axes = [f"a{i}" for i in range(len(dimensions) + 1)]
-    sources = [*[F.col(f"d{i}") for i in range(len(dimensions))], F.col("size")]
-    placed, axes = cells(slim, dict(zip(axes, sources, strict=True)), bits)
+    placed, axes = cells(slim, {f"a{i}": f"d{i}" for i in range(len(dimensions))}, {f"a{len(dimensions)}": F.col("size")}, bits)
     placed = hilbert_index(placed, axes, bits, "curve") if axes else placed.withColumn("curve", F.lit(0).cast("long"))
     value = F.shiftrightunsigned(F.xxhash64("key", "text_crc32", "size"), 64 - _VALUE_BITS)
     row = F.shiftrightunsigned(F.xxhash64("row"), 64 - _ROW_BITS)
