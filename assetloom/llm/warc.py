@@ -5,8 +5,9 @@ stored; the others are revisit records without a payload that name it.  Archives
 Spark's text sink: a record ends with CR LF CR LF, which is the sink's line separator, and a row is
 a record's header and payload, so the files are plain WARC/1.1 by the commit protocol of any store.
 
-Reading: archives are read whole, file by file (``rows_per_file`` bounds them), and cut by
-Content-Length, so payloads may hold anything.  Each file gives a locally sorted run of captures:
+Reading: archives are read whole, file by file, and cut by Content-Length, so payloads may hold
+anything.  Files are bounded in rows and bytes: records are written by classes of size, and the
+larger a class, the fewer of its records share a file.  Each file gives a locally sorted run of captures:
 URL key, timestamp, file, offset.  The runs are dealt by ranges of URL key and timestamp, and each
 task merges the parts of the runs it gets by a loser tree, from spill files where they are many.
 """
@@ -24,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, col, new_path, written
+from .shared import batch, col, scratch, spill_folder, written
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-ROWS_PER_FILE = 1000
+#: Records and payload bytes of a file at most; a single record may be larger.
+ROWS_PER_FILE, FILE_BYTES = 1000, 64 << 20
+#: A class of sizes ends at so many times the end of the one before.
+_CLASS = 16
 #: Captures a merging task holds before it spills its runs.
 HELD_CAPTURES = 200_000
 #: Made-up times of capture stay below this second.
@@ -39,28 +43,41 @@ END = "\r\n\r\n"
 def _revisits(df: DataFrame, key: str, payload: str, least: int) -> DataFrame:
     """Adds _digest, _bytes and _of: the key of the response that holds the payload, null for responses.
 
-    Only payloads that occur more than once are looked up.  That table is written first, so its
-    size is known when the join is planned: where it is small Spark broadcasts it and no payload
-    is shuffled; else payloads are dealt by digest.
+    Only payloads of at least the minimum size that occur more than once are looked up.  That table
+    is written first, so its size is known when the join is planned: where it is small Spark
+    broadcasts it and no payload is shuffled; else payloads are dealt by digest.  Smaller payloads
+    match nothing and are dealt by a key of their own, so equal ones don't meet in one task.
     """
     body = F.coalesce(col(payload).cast("binary"), F.lit(b""))
     hashed = df.withColumns({"_digest": F.sha1(body), "_bytes": F.octet_length(body).cast("long")})
     groups = hashed.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.max(col(key)).alias("_holder"), F.count("*").alias("_n"))
-    stored = written(groups.filter("_n > 1").drop("_n"), "stored")
-    joined = hashed.join(stored, ["_digest", "_bytes"], "left")
-    return joined.withColumn("_of", F.when(~col(key).eqNullSafe(F.col("_holder")), F.col("_holder"))).drop("_holder")
+    stored = written(groups.filter("_n > 1").select(F.concat("_digest", F.lit(" "), F.col("_bytes")).alias("_look"), "_holder"), "stored")
+    alone = F.concat(F.lit("-"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+    look = F.when(F.col("_bytes") >= least, F.concat("_digest", F.lit(" "), F.col("_bytes"))).otherwise(alone)
+    joined = hashed.withColumn("_look", look).join(stored, "_look", "left")
+    return joined.withColumn("_of", F.when(~col(key).eqNullSafe(F.col("_holder")), F.col("_holder"))).drop("_holder", "_look")
 
 
-def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None, least: int = REVISIT_BYTES, rows_per_file: int = ROWS_PER_FILE) -> None:
+def timestamp(at: Column) -> Column:
+    """A time as WARC writes it, in UTC whatever the session's zone: from the seconds since 1970, by arithmetic."""
+    seconds = F.unix_seconds(at)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int"))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    rest = F.pmod(seconds, F.lit(86_400))
+    return F.concat(day.cast("string"), F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+
+
+def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None, least: int = REVISIT_BYTES, rows_per_file: int = ROWS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Write a record for each row of ``df`` into archives under ``path``.
 
     captured: the time of capture; by default, for tables without one, the epoch plus ``key``
     seconds, counted anew from each century's worth of them so that no key is out of range.
     Null payloads are empty, a null URL is left out, a null key is written as ``null``; of rows
-    that share the largest key of equal payloads each is a response.
+    that share the largest key of equal payloads each is a response.  Line breaks in a URL are
+    written as %0D and %0A.  A file has at most ``rows_per_file`` records, and ``file_bytes`` of
+    payload unless a single record is larger.  Other columns, whatever their names, play no part.
     """
     slim = df.select(col(key).alias("key"), col(url).alias("url"), col(payload).alias("body"), (captured if captured is not None else F.timestamp_seconds(F.pmod(F.coalesce(col(key), F.lit(0)), F.lit(_LAST_SECOND)))).alias("at"))
-    rows = _revisits(slim, "key", "body", least)
     name = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("_of").isNotNull()
     line = lambda label, value: F.concat(F.lit(label + ": "), value, F.lit("\r\n"))
@@ -68,7 +85,7 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", name(F.col("key"))),
-        line("WARC-Date", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", timestamp(F.col("at"))),
         # A URL can't hold a line break in a header; it is escaped as in a URL.
         F.coalesce(line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")), F.lit("")),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("WARC-Refers-To", name(F.col("_of"))))).otherwise(""),
@@ -79,7 +96,19 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
         F.lit("\r\n"),
     )
     record = F.concat(head, F.when(revisit, "").otherwise(F.coalesce("body", F.lit(""))))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", rows_per_file).text(path)
+    # Sizes up to the first bound fit by the number of rows alone; each further class has a file for fewer.
+    bounds = [max(file_bytes // rows_per_file, 1)]
+    while bounds[-1] < file_bytes:
+        bounds.append(min(bounds[-1] * _CLASS, file_bytes))
+    size = F.coalesce(F.octet_length(F.col("body").cast("binary")), F.lit(0))
+    kind = F.lit(0)
+    for bound in bounds:
+        kind = kind + (size > bound).cast("int")
+    there = {r.n for r in slim.select(kind.alias("n")).distinct().collect()}  # a handful of classes
+    for n in sorted(there | {0}):
+        own = _revisits(slim.filter(kind == n), "key", "body", least).select(record.alias("value"))  # equal payloads are of one class
+        most = rows_per_file if n == 0 else max(1, file_bytes // bounds[n]) if n < len(bounds) else 1
+        own.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str) -> str:
@@ -103,7 +132,7 @@ def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         if blank < 0 or not data.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
         lines = data[at:blank].decode("utf-8", "surrogateescape").split("\r\n")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        headers = {k.lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
         start = blank + 4
         end = start + int(headers["content-length"])
         if data[end : end + 4] != b"\r\n\r\n":
@@ -191,7 +220,7 @@ def merged(rows: Iterable[tuple], held: int = HELD_CAPTURES) -> Iterator[tuple]:
     parts: dict[int, list[tuple]] = {}
     spilled: list[tuple[int, int]] = []
     n = 0
-    with tempfile.TemporaryFile() as f:
+    with tempfile.TemporaryFile(dir=spill_folder()) as f:
         for row in rows:
             parts.setdefault(row[0], []).append(row)
             n += 1
@@ -244,9 +273,12 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
 
 def capture_index(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None) -> DataFrame:
-    """Write ``pages`` as archives under ``path``, read them back, and merge their runs into one index."""
+    """Write ``pages`` as archives under ``path``, read them back, and merge their runs into one index.
+
+    Odd rows: see ``write_archives``.  Rows need not be unique, each is a capture; an empty table gives none.
+    """
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
+    path = path or scratch(spark, "warc")
     write_archives(pages, path, key, url, payload, captured)
     return merge_runs(written(read_captures(spark, path), "captures"))
 
