@@ -1,14 +1,17 @@
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assetloom.llm.components import Forest, components
 from assetloom.llm.exact_dedup import exact_dedup, grace
-from assetloom.llm.simhash import _span, keep_one, links, near_duplicates, simhash
+from assetloom.llm.simhash import _span, covering, keep_one, linked, links, masks, narrower, near_duplicates, simhash
 from assetloom.llm.shared import squeeze
+from assetloom.llm.similar import keep_dissimilar
 
 
 def normal(text):
@@ -104,12 +107,82 @@ def test_links_lose_none_within_the_distance(spark):
             flips = rng.choice(64, k, replace=False)
             prints.add(b ^ int(sum(1 << int(i) for i in flips)))
     prints = sorted(prints)
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4)
+    assert_same_classes(classes_of(spark, prints), brute_classes(prints, 4))
+
+
+def classes_of(spark, prints, bits=4, **sizes):
+    """The component of each of unsigned fingerprints, by the index."""
+    signed = [int(p) - (1 << 64) if int(p) >> 63 else int(p) for p in prints]
+    edges = links(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3), bits, **sizes)
     root = {r.node: r.root for r in components(edges).collect()}
-    label = brute_classes(prints, 4)
-    got = [root.get(s, s) for s in signed]
-    assert len(set(zip(label, got, strict=True))) == len(set(label)) == len(set(got))
+    return [root.get(s, s) for s in signed]
+
+
+def assert_same_classes(got, want):
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_every_choice_of_places_holds_one_of_the_index():
+    for n, m in ((8, 4), (8, 3), (8, 5), (10, 5), (6, 2)):
+        chosen = covering(n, m)
+        assert all(any(set(c) <= set(p) for c in chosen) for p in itertools.combinations(range(n), m))
+    assert len(covering(8, 4)) == 20 == len(masks(4))
+
+
+@pytest.mark.parametrize("bits", [1, 3, 4, 5, 6, 7])
+def test_pairs_within_the_distance_meet_at_every_level(bits):
+    rng = np.random.default_rng(bits)
+    for _ in range(150):
+        a = int(rng.integers(0, 1 << 63))
+        b = a ^ sum(1 << int(i) for i in rng.choice(64, bits, replace=False))
+        meeting = [m for m in masks(bits) if a & m == b & m]
+        assert meeting
+        for m in meeting:
+            while below := narrower(m, bits):
+                agreeing = [x for x in below if a & x == b & x]
+                assert agreeing and all(x & m == m for x in below)
+                m = agreeing[int(rng.integers(len(agreeing)))]
+            assert m.bit_count() >= 48 or bits != 4
+
+
+def test_tallies_count_bytes_in_place():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 1 << 63, 4000, dtype=np.uint64), rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    b[:2000] = a[:2000]
+    for i in range(2000):
+        for at in rng.choice(64, i % 8, replace=False):
+            b[i] ^= np.uint64(1) << np.uint64(at)
+    assert linked(a, b, 4).tolist() == [(int(x) ^ int(y)).bit_count() <= 4 for x, y in zip(a, b, strict=True)]
+
+
+@pytest.mark.parametrize("posting", [3, 20, 8_192])
+def test_postings_that_are_dealt_again_lose_no_link(spark, posting):
+    rng = np.random.default_rng(11)
+    prints = {int(x) for x in rng.integers(0, 1 << 63, 60, dtype=np.uint64)}
+    for base in list(prints)[:4]:  # crowds around four fingerprints, whole bytes in common
+        for _ in range(60):
+            prints.add(base ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(1, 9), replace=False)))
+        for _ in range(60):
+            prints.add(base ^ int(rng.integers(0, 1 << 20)) << 12)
+    prints = sorted(prints)
+    assert_same_classes(classes_of(spark, prints, posting=posting), brute_classes(prints, 4))
+
+
+def test_a_posting_of_fifty_thousand_fingerprints(spark):
+    rng = np.random.default_rng(12)
+    base = 0x1234567890ABCDEF
+    # All share three bytes, and the first twenty thousand four; the others are 40 random bits apart.
+    low = rng.choice(1 << 32, 20_000, replace=False)
+    crowd = {base & ~0xFFFFFFFF | int(x) for x in low} | {base & 0xFFFFFF | int(x) << 24 for x in rng.integers(0, 1 << 40, 30_000)}
+    prints = np.array(sorted(crowd), np.uint64)
+    assert len(prints) > 49_990
+    forest = Forest()
+    for i in range(len(prints) - 1):  # brute force
+        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= 4):
+            forest.link(int(prints[i].view(np.int64)), int(prints[i + 1 + j].view(np.int64)))
+    want = [forest.find(int(p.view(np.int64))) for p in prints]
+    assert 10 < len(set(want)) < len(prints) - 100
+    assert_same_classes(classes_of(spark, prints), want)
 
 
 def test_span_finds_each_component_of_a_posting():
@@ -136,3 +209,11 @@ def test_keep_one_keeps_a_row_of_each_class(odd, none):
         first.setdefault(r.component, []).append(r.key)
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(min((k for k in v if k is not None), default=None)) for v in first.values())
     assert keep_one(none).count() == 0 and near_duplicates(none).count() == 0
+
+
+def test_rows_with_maps_and_repeated_rows(spark):
+    rows = [(i, "a b c d e f g h", {"k": i % 2}, [{"x": "y"}]) for i in (3, 1, 1, 2)] + [(9, "other words that link with nothing else here", {}, [])] * 2 + [(None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, n array<map<string, string>>")
+    assert near_duplicates(df).count() == 8
+    for kept in (keep_one(df), keep_dissimilar(df)):
+        assert kept.schema == df.schema and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "9", "None"]

@@ -1,6 +1,9 @@
+import datetime
 import hashlib
 import math
+import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assetloom.llm import hilbert, licences, quality, warc
 from assetloom.llm.balltree import BallTree, quantised, top_k
-from assetloom.llm.shared import new_path
+from assetloom.llm.shared import scratch
 
 # ---- WARC ---------------------------------------------------------------------------------------
 
@@ -70,6 +73,32 @@ def test_index_is_globally_ordered(spark):
     assert places == sorted(places) and len({r.p for r in parts}) >= 1
 
 
+def test_dates_are_utc_whatever_the_session_says(spark, tmp_path):
+    rows = [(s, f"http://h.test/{s}", "x") for s in (0, 1, 86_399, 1_667_109_599, 1_667_113_200, 1_647_154_800, 3_000_000_000)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("America/New_York", "Europe/Berlin", "Asia/Kolkata", before):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            found = warc.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+        utc = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        assert {r.key: r.captured for r in found} == {s: utc(s) for s, _, _ in rows}
+
+
+def test_files_are_bounded_in_bytes_and_rows(spark, tmp_path):
+    sizes = [10] * 90 + [150] * 40 + [1500] * 8 + [3000] * 5 + [20_000] * 3
+    rows = [(i, f" http://h.test/{i} ", chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, rows_per_file=40, file_bytes=4000)
+    files = [f for f in os.listdir(tmp_path / "w") if f.startswith("part-")]
+    for f in files:
+        held = list(warc.records((tmp_path / "w" / f).read_bytes()))
+        assert len(held) <= 40 and (sum(len(b) for *_, b in held) <= 4000 or len(held) == 1)
+    found = warc.read_captures(spark, path).collect()
+    assert sorted((r.key, r.url, r.payload_bytes) for r in found) == [(k, u, len(b)) for k, u, b in rows]
+
+
 def test_empty_pages(spark):
     assert warc.capture_index(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -110,14 +139,62 @@ def recognised(spark, texts):
     return [tuple(r.r) for r in df.select("i", licences.recognise(F.col("t")).alias("r")).orderBy("i").collect()]
 
 
+def brute_licences(text):
+    """The same in plain Python, over lists."""
+    plain, known, names, spdx = licences.normalised, licences.known(), licences.names(), licences.identifiers()
+
+    def look(s):
+        n = plain(s)
+        under = re.match(licences._UNDER, n)
+        return known.get(n) or (names.get(under[1]) if under else None) or known.get(re.sub(" [0-9]{1,2}$", "", n))
+
+    bare = re.sub(r"(?m)^[ \t]*(?://+[!/]*|/\*+!?|\*+/)|(?://+|/\*+|\*+/)[ \t\r]*$", "", text or "")
+    ids = []
+    for s in re.split(r"[.!?]+[ \t\r\n]+|:[ \t\r]*\n|\n[ \t\r]*\n", bare):
+        if found := look(s):
+            ids.append(found)
+            continue
+        for line in s.split("\n"):
+            head, mark, expression = line.lower().rpartition("spdx-license-identifier:")
+            if mark:
+                ids += [spdx[w] for w in re.findall(r"[a-z0-9.+-]+", expression) if w in spdx]
+            elif found := look(line):
+                ids.append(found)
+    left, matched = list(ids), []
+    for name, rule in licences.RULES:
+        at = 0
+        while at + len(rule) <= len(left):
+            if left[at : at + len(rule)] == rule:
+                left[at : at + len(rule)] = [None]
+                matched.append(name)
+            at += 1
+    unmatched = []
+    for x in filter(None, left):
+        name = x[5:] if x[:5] in ("Name-", "Spdx-") else licences.SINGLE.get(x)
+        if name:
+            matched.append(name)
+        else:
+            unmatched.append(x)
+    return ",".join(dict.fromkeys(matched)), ",".join(ids), ",".join(unmatched)
+
+
+def sample(name):
+    """A sentence that is known by this identifier."""
+    if name in licences.SENTENCES:
+        return licences.SENTENCES[name][-1]
+    kind, licence = name.split("-", 1)
+    return "Released under the " + licences.NAMES[licence][0] if kind == "Name" else f"SPDX-License-Identifier: {licence}"
+
+
 def test_licences(spark):
     mit = ". ".join(licences.SENTENCES[i][0] for i in ("MitGrant", "MitNotice", "MitAsIs"))
     wrapped = mit.replace(", ", ",\n")
     texts = [None, "", "nothing here", "Some junk line\nReleased under the MIT License.\nmore", "LICENSED under the Apache   License, version 2.0", mit, wrapped, mit + "\n\n" + mit, "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.", "All rights reserved.", "license " * 50_000]
     got = recognised(spark, texts)
-    assert [g[0] for g in got] == ["", "", "", "MIT", "Apache-2.0", "MIT", "MIT", "MIT", "CC-BY-NC-4.0,CC-BY-4.0", "", ""]
+    assert [g[0] for g in got] == ["", "", "", "MIT", "Apache-2.0", "MIT", "MIT", "MIT", "CC-BY-4.0,CC-BY-NC-4.0", "", ""]
     assert got[7][1].count("MitGrant") == 2 and got[7][2] == ""
     assert got[9][1:] == ("Rights", "Rights")
+    assert got == [brute_licences(t) for t in texts]
 
 
 def test_licences_in_comments(spark):
@@ -125,14 +202,45 @@ def test_licences_in_comments(spark):
     lines = mit.replace(", ", ",\n").split("\n")
     apache = ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0", ""]
     texts = ["// Licensed under the MIT License", "int x; /* a */\n/* Licensed under the MIT License. */\nint y;", "\n".join(f"  // {x}" for x in lines), "/*\n" + "\n".join(lines) + "\n*/", "\n".join(f"/* {x} */" for x in lines), "\r\n".join(f"// {x}" for x in apache), "\n".join(f"# {x}" for x in lines)]
-    assert [g[0] for g in recognised(spark, texts)] == ["MIT"] * 5 + ["Apache-2.0", "MIT"]
+    got = recognised(spark, texts)
+    assert [g[0] for g in got] == ["MIT"] * 5 + ["Apache-2.0", "MIT"]
+    assert got == [brute_licences(t) for t in texts]
+
+
+def test_full_notices_and_spdx_expressions(spark):
+    s = lambda *ids: ".\n".join(licences.SENTENCES[i][0] for i in ids) + ".\n"
+    bsd = licences.SENTENCES["BsdGrant"][0] + ":\n1. " + licences.SENTENCES["BsdSource"][0] + ".\n2. " + licences.SENTENCES["BsdBinary"][0] + ".\n"
+    texts = {
+        s("IscGrant", "IscAsIs"): "ISC", s("ZeroGrant", "IscAsIs"): "0BSD", s("UnlicenseFree", "UnlicenseAnyone"): "Unlicense", s("Epl2Notice"): "EPL-2.0", s("Lgpl21Later", "GnuHope", "LgplSee"): "LGPL-2.1-or-later",
+        "Copyright (c) 2020 X\n\n" + bsd: "BSD-2-Clause", bsd + "3. " + licences.SENTENCES["BsdEndorse"][1] + ".": "BSD-3-Clause", bsd.replace("1. ", "* ").replace("2. ", "* "): "BSD-2-Clause",
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */\nint x;": "MIT,Apache-2.0", "# SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0": "GPL-2.0-or-later,Classpath-exception-2.0",
+        "spdx-license-identifier: bsd-2-clause AND isc": "BSD-2-Clause,ISC", "SPDX-License-Identifier: LGPL-3.0": "LGPL-3.0-only", "SPDX-License-Identifier: Nobody-1.0": "", "This project is licensed under the terms of the GPLv3 license!": "GPL-3.0-only", "the code is also available under CC0": "CC0-1.0", "The code is also available under CC0 1.0": "CC0-1.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", s("MplNotice") + licences.SENTENCES["MplCopy"][0]: "MPL-2.0", s("ZlibAsIs", "ZlibGrant"): "Zlib", "understand what is available": "",
+    }
+    got = recognised(spark, list(texts))
+    assert [g[0] for g in got] == list(texts.values())
+    assert got == [brute_licences(t) for t in texts]
+
+
+def test_every_rule_fires(spark):
+    rules = [*licences.RULES, *[(licence, [x]) for x, licence in licences.SINGLE.items()]]
+    rules += [(x, [f"Name-{x}"]) for x in licences.NAMES] + [(x, [f"Spdx-{x}"]) for x in licences.SPDX]
+    assert set(licences.SINGLE) <= set(licences.SENTENCES) and {i for _, r in licences.RULES for i in r if "-" not in i} <= set(licences.SENTENCES)
+    texts = [".\n\n".join(sample(i) for i in rule) for _, rule in rules]
+    got = recognised(spark, texts)
+    for (name, rule), (found, sentences, unmatched), text in zip(rules, got, texts, strict=True):
+        assert (found, sentences, unmatched) == (name, ",".join(rule), ""), text
+        assert brute_licences(text) == (found, sentences, unmatched)
+    for n, (_, rule) in enumerate(licences.RULES):  # no rule stands before one that holds it
+        for _, earlier in licences.RULES[:n]:
+            assert not any(rule[at : at + len(earlier)] == earlier for at in range(len(rule) - len(earlier) + 1))
 
 
-def test_rules_use_known_identifiers_and_longer_ones_come_first():
-    names = set(licences.SENTENCES)
-    for n, (_, rule) in enumerate(licences.RULES):
-        assert set(rule) <= names
-        assert not any(earlier != rule and " ".join(earlier) in " ".join(rule) and len(earlier) < len(rule) and earlier == rule[: len(earlier)] for _, earlier in licences.RULES[:n])
+def test_licences_against_brute_force_on_mixed_texts(spark):
+    rng = random.Random(5)
+    pool = [x for group in licences.SENTENCES.values() for x in group] + ["SPDX-License-Identifier: MIT", "Released under the MIT License", "junk words", "free software under way", ""]
+    texts = ["".join(rng.choice(pool).replace(" ", rng.choice([" ", "\n", "  "]), rng.randint(0, 3)) + rng.choice([". ", ".\n", ":\n", "\n\n", "\n", " // \n", "!\r\n2. "]) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    assert recognised(spark, texts) == [brute_licences(t) for t in texts]
 
 
 def test_licences_of_odd_rows(odd, none):
@@ -204,18 +312,37 @@ def brute_top(rows, k):
     return out
 
 
+def check_top(spark, rows, kind="float", **sizes):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").select("vec_id", quantised(F.col("embedding")).alias("v"), F.lit(1).alias("shard"), F.lit("x").alias("score"), F.lit(0).alias("qid"))
+    got = defaultdict(list)
+    for r in top_k(df, df.filter("vec_id % 50 = 0"), k=5, **sizes).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    clamped = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = {q: [(n, i, clamped(s)) for n, i, s in v] for q, v in brute_top(rows, 5).items() if v}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    return want
+
+
 def test_top_k_is_exact_with_ties_nulls_and_many_shards(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for i in range(700)]
     hot = rows[3][1]
     rows += [(1000 + i, hot) for i in range(250)]
     rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [float("inf")] + [0.0] * 7), (None, hot), (2050, []), (2100, [1.0, 2.0]), (2101, [3.0, 1.0]), (2150, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", quantised(F.col("embedding")).alias("v"), F.lit(1).alias("shard"))
-    for shard_rows, block_rows in ((100, 4), (10_000, 10_000)):
-        got = defaultdict(list)
-        for r in top_k(df, df.filter("vec_id % 50 = 0"), k=5, shard_rows=shard_rows, block_rows=block_rows).collect():
-            got[r.query_id].append((r["rank"], r.vec_id, r.score))
-        assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in brute_top(rows, 5).items() if v}
+    for shard_rows in (100, 20, None):
+        check_top(spark, rows, shard_rows=shard_rows)
+
+
+def test_top_k_is_exact_for_components_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 64) * 10.0 ** rng.uniform(-3, 9, 64)]) for i in range(400)]
+    rows += [(1000 + i, [float(np.float32(x)) for x in rng.normal(0, 1, 64)]) for i in range(150)]  # small beside large, in every shard
+    near = [float(np.float32(x)) for x in rng.normal(0, 1e7, 64)]
+    rows += [(2000 + i, near[:63] + [near[63] + 2.0**-8 * i]) for i in range(20)]  # scores that differ in their last digits
+    want = check_top(spark, rows, shard_rows=90)
+    assert any(s == (1 << 63) - 1 for v in want.values() for _, _, s in v) and any(abs(s) < 1 << 50 for v in want.values() for _, _, s in v)
+    huge = [(i, [float(x) for x in rng.normal(0, 1, 5) * 10.0 ** rng.uniform(-300, 300, 5)]) for i in range(200)]
+    check_top(spark, huge, "double", shard_rows=64)
 
 
 def test_top_k_of_nothing(spark):
@@ -231,8 +358,8 @@ def test_ball_tree_prunes_and_stays_exact():
     for q in data[:10]:
         scores = data @ q
         want = sorted(((int(s), -i) for i, s in enumerate(scores)), reverse=True)[:5]
-        assert tree.search(q, -1, 5, float("-inf")) == [(s, -i) for s, i in want]
-        assert tree.search(q, -1, 5, float(want[-1][0])) == [(s, -i) for s, i in want]
+        assert tree.search(q, -1, 5, None) == [(s, -i) for s, i in want]
+        assert tree.search(q, -1, 5, want[-1][0]) == [(s, -i) for s, i in want]
 
 
 # ---- sharding -----------------------------------------------------------------------------------
@@ -276,12 +403,25 @@ def test_repeated_rows_are_numbered_once_each(spark):
     assert len(rows) == 600 and len({(r.shard, r.slot) for r in rows}) == 600
 
 
-def test_prefix_numbers_keep_the_order_of_strings(spark):
-    words = ["", "a", "aa", "ab", "b", "src1", "src10", "src2", "é", "zzzzzzzzzz"]
-    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").select("w", hilbert.leading_number(F.col("w")).alias("n"))
-    found = {r.w: r.n for r in df.collect()}
-    assert found[None] is None and [found[w] for w in sorted(words)] == sorted(found[w] for w in words)
+def test_sources_with_a_long_common_prefix_are_told_apart(spark):
+    rng = random.Random(1)
+    source = lambda n: ("http" if n % 2 else "https") + "://corpus.example.test/common/crawl/part-" + f"{n:02d}"
+    docs = spark.createDataFrame([(i, "w" * rng.randint(1, 4000), rng.choice(["de", "en", "fr", "it"]), source(rng.randrange(20))) for i in range(3000)], "doc_id long, text string, lang string, source string")
+    rows = hilbert.hilbert_shards(docs).join(docs, "doc_id").collect()
+    span = lambda f: sum(len({f(r) for r in rows if r.shard == s}) for s in range(16)) / 16
+    assert span(lambda r: r.lang) < 3 and span(lambda r: r.source) < 14
+
+
+def test_steps_of_strings_are_their_quantiles(spark):
+    words = ["", "a", "aa", "ab", "b", "src1", "src10", "src2", "é", "zzzzzzzzzz", "z" * 9 + "y"]
+    rng = random.Random(3)
+    values = [rng.choice(words) for _ in range(500)] + ["hot"] * 400 + [None] * 50
+    df = spark.createDataFrame([(v,) for v in values], "w string").repartition(5)
+    found, there = hilbert.cells(df, {"a": "w"}, {}, 3)
+    steps = {r.w: r.a for r in found.distinct().collect()}
+    sound = sorted((v for v in values if v is not None), key=str.encode)
+    assert there == ["a"] and steps.pop(None) == 0 and steps == {w: 8 * sound.index(w) // len(sound) for w in set(sound)}
 
 
 def test_new_paths_are_below_the_shared_folder(spark):
-    assert new_path(spark, "t") != new_path(spark, "t")
+    assert scratch(spark, "t") != scratch(spark, "t")
