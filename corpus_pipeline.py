@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assetloom.llm.exact_dedup import exact_dedup
 from assetloom.llm.packing import pack_documents
 from assetloom.llm.quality import keep_good
-from assetloom.llm.shared import reachable, written
+from assetloom.llm.shared import delete, reachable, released, scratch
 from assetloom.llm.similar import keep_dissimilar
 
 
@@ -29,8 +29,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, texts whose five-word similarity is at least 0.8, the row with the smallest doc_id."""
-    return keep_dissimilar(docs)
+    """Of near duplicates, texts whose five-word similarity is at least 0.8, the row with the smallest doc_id.
+
+    Operator 10's byte-position index over five-word fingerprints proposes pairs, MinHash keys those
+    that are beyond its reach (see the README), and each pair is verified on the texts.
+    """
+    return keep_dissimilar(docs, words=5, similarity=0.8, bits=4)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each keeps is written to the shared folder for the next.
+
+    A stage's own intermediate tables go when its result is written; what it kept, when the next stage's is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
