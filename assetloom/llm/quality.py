@@ -104,16 +104,6 @@ class Discriminant:
 
         return of(vector)
 
-    def score_text(self, text: Column) -> Column:
-        """The score of a column of whole texts; null counts as empty."""
-
-        @F.arrow_udf(T.DoubleType())
-        def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for a in batches:
-                yield pa.array(self.scores(np.array([statistics(t) for t in raw(a)], np.float64).reshape(-1, len(FEATURES))))
-
-        return of(text.cast("binary"))
-
 
 def discriminant(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float = SHRINKAGE, ridge: float = RIDGE) -> Discriminant:
     """From each class's count, sum and sum of outer products.
@@ -174,8 +164,10 @@ def in_training(key: Column) -> Column:
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(key, held_out, score, predicted) for each row of ``docs``, its whole text scored.
 
-    Only the text is ever an input.  held_out: rows that take no part in learning (null keys too).
-    Rows need not be unique.  An empty table gives no row; without labels all scores are 1/2.
+    Only the text is ever an input; null counts as empty, and both have the fixed statistics of the
+    empty text.  held_out: rows that take no part in learning (null keys too).  Rows need not be
+    unique, very long texts are read whole, and other columns, whatever their names, play no part.
+    An empty table gives no row; without labels all scores are 1/2.
     """
     vectors = written(docs.select(col(key).alias("key"), features(col(text)).alias("x")), "quality")
     model = fit(vectors, labels, key, label, in_training(F.col("key")))
@@ -184,11 +176,17 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, columns as they were."""
-    vectors = written(docs.select(col(key).alias("key"), features(col(text)).alias("x")), "quality")
-    model = fit(vectors, labels, key, label, in_training(F.col("key")))
-    score = fresh(docs, "score")
-    return docs.withColumn(score, model.score_text(col(text))).filter(F.col(score) >= THRESHOLD).drop(score)
+    """The rows of ``docs`` whose score reaches the threshold, columns as they were, whatever their names.
+
+    The statistics are computed once and written with the rows; learning and scoring read them from
+    there.  Null and empty texts are scored by the fixed vector of the empty text; rows need not be
+    unique and keys may be null; very long texts are read whole; without labels every score is 1/2
+    and every row stays; an empty table gives no row.
+    """
+    x = fresh(docs, "x")
+    rows = written(docs.withColumn(x, features(col(text))), "quality")
+    model = fit(rows.select(col(key).alias("key"), col(x).alias("x")), labels, key, label, in_training(F.col("key")))
+    return rows.filter(model.score(col(x)) >= THRESHOLD).drop(x)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
