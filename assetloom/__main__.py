@@ -125,6 +125,7 @@ def main(argv: list[str] | None = None) -> int:
             LOG.info("%d assets in the summary", run_report(spark, output)["total_assets"])
         else:
             register_frames(open_tables(spark, f"{output}/tables"))
+            register_frames({f"report_{n}": readers.report(spark, f"{output}/reports", n) for n in ("imports", "errors")})  # not ingested
             for row in query_lines(spark, args.sql).toLocalIterator():
                 sys.stdout.write(row.value + "\n")
     return 0

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def decode_lenient(content: Column) -> Column:
-    """UTF-8 text of binary content: undecodable bytes are dropped, CR LF and CR become LF.
+@F.arrow_udf(T.StringType())
+def lenient_utf8(content: pa.Array) -> pa.Array:
+    """UTF-8 text of binary content without undecodable bytes.
 
     The built-in decoders raise on bad bytes or replace them, so this one is an Arrow function.
     """
+    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in content.to_pylist()], pa.string())
 
-    @F.arrow_udf(T.StringType())
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in batches:
-            yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in a.to_pylist()], pa.string())
 
-    return F.regexp_replace(decode(content), r"\r\n?", "\n")
+def decode_lenient(content: Column) -> Column:
+    """UTF-8 text of binary content: undecodable bytes are dropped, CR LF and CR become LF."""
+    return F.regexp_replace(lenient_utf8(content), r"\r\n?", "\n")
 
 
 def sql_literal(value: str) -> str:

@@ -30,6 +30,12 @@ def observations(models: DataFrame, kind: str, scan_id: str, sequence: Column) -
     return models.select(F.col("id").cast("string").alias("id"), F.lit(scan_id).alias("scan_id"), F.lit(kind).alias("node_type"), natural_key(fields).alias("natural_key"), F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}).alias("attributes_json"), sequence.alias("sequence"))
 
 
+def conflicts(observed: DataFrame) -> DataFrame:
+    """(id, n) of ids that would be stored under ``n`` > 1 natural keys: what ``store`` raises an error for."""
+    keys = observed.groupBy("scan_id", "node_type", "natural_key").agg(F.min_by("id", "sequence").alias("id"))
+    return keys.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def store(observed: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Nodes after storing: per (scan, type, natural key) the first id stays, the attributes are the latest.
 

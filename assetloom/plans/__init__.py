@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import configure
-from . import relational, stream, web
+from . import files, relational, stream, web
 
-_MODULES = (web, relational, stream)
+_MODULES = (web, files, relational, stream)
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import lenient_utf8
 from ..sources.sinks import json_lines
 from ..storage import configure, exists
 
@@ -59,9 +60,32 @@ _READS = frozenset(
 _CALLS = re.compile(r"(?i)\b(?:try_)?(?:reflect|java_method)\s*\(")
 
 
+#: What GLOB may not be looked for in, and GLOB with its pattern.
+_GLOB = re.compile(r"""(?is)'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\bGLOB\s+'((?:[^'\\]|\\.|'')*)'""")
+
+
+def with_glob(text: str) -> str:
+    """``text`` with each ``GLOB 'pattern'`` as RLIKE, which Spark knows; strings, names and comments stay."""
+
+    def change(found: re.Match) -> str:
+        if found[1] is None:
+            return found[0]
+        pattern = glob_to_regex(found[1].replace("''", "'"))
+        return "RLIKE '" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return _GLOB.sub(change, text)
+
+
+def functions(spark: SparkSession) -> None:
+    """Register the engine's own functions for SQL: ``lenient_text`` takes bytes to text as bodies are decoded."""
+    spark.udf.register("lenient_text", lenient_utf8)
+
+
 def query(spark: SparkSession, text: str) -> DataFrame:
-    """The rows of one read-only statement; any other is a ValueError and does nothing."""
+    """The rows of one read-only statement; any other is a ValueError and does nothing. GLOB and ``lenient_text`` are known."""
     configure(spark)
+    functions(spark)
+    text = with_glob(text)
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     if _CALLS.search(text) or not _reads_only(plan):
         raise ValueError("only a SELECT is allowed")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .adhoc import DRIVER_TABLES, register
+from .adhoc import DRIVER_TABLES, query, register
 
 _MONEY = "CAST({} AS DECIMAL(18,2))"
 
@@ -60,6 +60,17 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "sql_date": ("SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM') AS month, year(o_orderdate) AS y, datediff(DATE '1999-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS INTEGER) AS days FROM orders"),
     "sql_math": ("SELECT p_partkey, abs(p_size - 25) AS d, round(p_retailprice, 1) AS r, p_size div 7 AS q, p_size % 7 AS m, greatest(p_size, 20) AS g, try_divide(p_size, p_size % 2) AS t FROM part", "SELECT p_partkey, abs(p_size - 25) AS d, round(p_retailprice, 1) AS r, CAST(p_size // 7 AS BIGINT) AS q, p_size % 7 AS m, greatest(p_size, 20) AS g, CASE WHEN p_size % 2 <> 0 THEN CAST(p_size AS DOUBLE) / (p_size % 2) END AS t FROM part"),
     "sql_json": ("SELECT event_id, json_array_length(concat('[', props, ']')) AS n, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, CAST(json_array_length('[' || props || ']') AS INTEGER) AS n, json_extract_string(props, '$.k') AS k FROM events"),
+    "sql_glob": "SELECT p_partkey, p_name FROM part WHERE p_name GLOB '[a-m]* [!-~]*t' AND NOT p_brand GLOB 'Brand#1?' AND p_type <> 'x GLOB ''y'' '",
+    "sql_window_nth": "SELECT user_id, event_id, nth_value(event_id, 2) OVER w AS second_id, last_value(event_id) OVER w AS last_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "sql_window_range": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS near FROM part",
+    "sql_window_groups": ("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g FROM part) x", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM part"),
+    "sql_json_each": ("SELECT event_id, t.name AS key, t.v AS v FROM events LATERAL VIEW explode(from_json(props, 'map<string,string>')) t AS name, v", "SELECT event_id, j.key AS key, json_extract_string(props, '$.' || j.key) AS v FROM events, json_each(props) j"),
+    "sql_json_group": ("SELECT n_regionkey, to_json(transform(array_sort(collect_list(struct(n_nationkey, n_name))), x -> x.n_name)) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(to_json(list(n_name ORDER BY n_nationkey)) AS VARCHAR) AS names FROM nation GROUP BY n_regionkey"),
+    "sql_asof": ("SELECT event_id, click_id FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS click_id FROM events) x WHERE event_type = 'purchase'", "SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts"),
+    "sql_interval_join": "SELECT a.event_id, count(b.event_id) AS later FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '6' HOUR GROUP BY a.event_id",
+    "sql_array": ("SELECT p_partkey, array_join(array_sort(split(p_name, ' ')), ',') AS words, size(split(p_name, ' ')) AS n, array_contains(split(p_name, ' '), 'red') AS red FROM part", "SELECT p_partkey, array_to_string(list_sort(string_split(p_name, ' ')), ',') AS words, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n, list_contains(string_split(p_name, ' '), 'red') AS red FROM part"),
+    "sql_map": ("SELECT r_regionkey, element_at(map('k', r_regionkey, 'n', length(r_name)), 'n') AS n, try_element_at(map(r_name, 1), 'none') AS missing FROM region", "SELECT r_regionkey, MAP {'k': r_regionkey, 'n': CAST(length(r_name) AS INTEGER)}['n'] AS n, MAP {r_name: 1}['none'] AS missing FROM region"),
+    "sql_udf": ("SELECT page_id, length(lenient_text(unhex(concat('FF', hex(url), 'C3')))) AS n FROM pages", "SELECT page_id, CAST(length(url) AS INTEGER) AS n FROM pages"),
     "sql_null": "SELECT n_nationkey, coalesce(nullif(n_regionkey, 1), -1) AS r, ifnull(nullif(n_name, ''), 'none') AS name FROM nation",
     "sql_cast": ("SELECT o_orderkey, try_cast(o_orderpriority AS INT) AS bad, try_cast(substr(o_orderpriority, 1, 1) AS INT) AS p FROM orders", "SELECT o_orderkey, try_cast(o_orderpriority AS INTEGER) AS bad, try_cast(substr(o_orderpriority, 1, 1) AS INTEGER) AS p FROM orders"),
 }
@@ -70,7 +81,7 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, tables)
-        return spark.sql(text)
+        return query(spark, text)
 
     return run
 

@@ -52,7 +52,14 @@ def test_every_registered_query_is_read_only(spark, tmp_path):
 
     parser = spark._jsparkSession.sessionState().sqlParser()
     for text in TEXTS.values():
-        assert adhoc._reads_only(parser.parsePlan(text if isinstance(text, str) else text[0]))
+        assert adhoc._reads_only(parser.parsePlan(adhoc.with_glob(text if isinstance(text, str) else text[0])))
+
+
+def test_glob_is_translated_outside_strings(spark):
+    assert adhoc.with_glob("SELECT 'x GLOB ''a'' ', a GLOB 'b*' -- GLOB 'c'") == "SELECT 'x GLOB ''a'' ', a RLIKE '^b(?s:.*)$' -- GLOB 'c'"
+    spark.createDataFrame([("it's",), ("a.b",), ("axb",), ("A.B",)], "v string").createOrReplaceTempView("g")
+    got = lambda p: [r.v for r in adhoc.query(spark, f"SELECT v FROM g WHERE v GLOB {p} ORDER BY v").collect()]
+    assert got("'a.b'") == ["a.b"] and got("'it''s'") == ["it's"] and got("'a?b'") == ["a.b", "axb"] and got("'[^a]*'") == ["A.B", "it's"]
 
 
 def test_query_lines(spark):
