@@ -75,20 +75,20 @@ def traverse(edges: DataFrame, scan_id: str, source_id: str, max_depth: int = 1)
     """(source_id, relationship, target_id, evidence, depth), all strings: outbound edges up to a depth.
 
     Every path counts: diamonds and cycles repeat edges.  A level carries each edge once, with its
-    number of paths; only the result repeats it.  Levels are written, so each is computed once and
+    number of paths (a stored edge is one row); only the result repeats it.  Levels are written, so each is computed once and
     the next joins what is there.
     """
     if max_depth < 1:
         raise ValueError("max_depth counts from 1")
     fields = ["source_id", "relationship", "target_id", "evidence"]
-    own = edges.filter(F.col("scan_id") == scan_id).groupBy(*fields).agg(F.count("*").alias("_same"))
-    level = own.filter(F.col("source_id") == source_id).withColumnRenamed("_same", "_paths")
+    own = edges.filter(F.col("scan_id") == scan_id).select(*fields)
+    level = own.filter(F.col("source_id") == source_id).withColumn("_paths", F.lit(1).cast("long"))
     if max_depth > 1:
-        own, level = written(own, "graph-edges"), written(level, "graph-level")
+        level = written(level, "graph-level")
     out = level.withColumn("depth", F.lit("1"))
     for depth in range(2, max_depth + 1):
-        ends = level.groupBy(F.col("target_id").alias("source_id")).agg(F.sum("_paths").alias("_into"))
-        level = written(own.join(ends, "source_id").select(*fields, (F.col("_same") * F.col("_into")).alias("_paths")), "graph-level")
+        ends = level.groupBy(F.col("target_id").alias("source_id")).agg(F.sum("_paths").alias("_paths"))
+        level = written(own.join(ends, "source_id").select(*fields, "_paths"), "graph-level")
         out = out.unionByName(level.withColumn("depth", F.lit(str(depth))))
     # Edges of many paths are spread in two steps, so that no array grows with the number of paths.
     some = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_paths - 1) div {_SPREAD}"))).alias("_block")
