@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all the rows it is given, and returns a DataFrame;
 all but the last return the columns of ``documents``.
+
+Every stage takes rows as they come: a null text counts as empty, and empty and blank texts are
+scored, compared and packed like others; very long texts are read whole; keys may be null, where the
+smallest decides they come last; rows need not be unique; further columns, of any type and name, come
+through the first three stages as they were.  Of rows that are equal in every column one can stay
+where one stays.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from assetloom.llm.similar import keep_dissimilar
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the discriminant, learned from the labelled ones among them, doesn't reject."""
+    """Rows that the discriminant, learned from the labelled ones among them, doesn't reject. Without labels none is rejected."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
