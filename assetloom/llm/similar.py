@@ -40,7 +40,7 @@ _BITS = 23
 _WORDS, _LONG = 200_000, 40
 
 _rng = np.random.default_rng(42)
-_FACTORS, _TERMS = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_FACTORS, _TERMS = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[bytes, int] = {}
 
@@ -74,10 +74,13 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
 
 
 def minima(shingle: np.ndarray) -> np.ndarray:
-    """Of each of the hash functions the minimum over a set."""
-    found = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingle), 256):
-        np.minimum(found, (shingle[at : at + 256, None] * _FACTORS + _TERMS).min(axis=0), out=found)
+    """Of each of the hash functions the minimum over a set, in 32 bits, which vector instructions multiply."""
+    found = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    half = (shingle >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(half), 256):
+        hashes = half[at : at + 256, None] * _FACTORS
+        hashes += _TERMS
+        np.minimum(found, hashes.min(axis=0), out=found)
     return found
 
 
@@ -102,7 +105,7 @@ def sketch(text: Column, words: int = 5) -> Column:
                 out[i, 0] = xxhash.xxh64_intdigest(own.tobytes())
                 out[i, 1] = majority(own)
                 key = np.arange(BANDS, dtype=np.uint64)
-                for part in minima(own).reshape(BANDS, ROWS).T:
+                for part in minima(own).astype(np.uint64).reshape(BANDS, ROWS).T:
                     key = _mixed(key * _STEP + part)
                 out[i, 2:] = key
             offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * np.int32(BANDS + 2))
