@@ -36,13 +36,14 @@ BLOCK, FEW = 256, 16
 MARGIN = 0.15
 #: Binary logarithm of the bits of the filter that keeps texts without a partner out of the shuffle.
 _BITS = 23
-#: Words whose hashes a worker remembers, and their greatest length.
-_WORDS, _LONG = 200_000, 40
+#: Bytes of text hashed at once, and the length up to which a word is hashed by a polynomial; modulo 2**64 these are weak for long strings.
+_AT_ONCE, _SHORT = 1 << 16, 256
 
 _rng = np.random.default_rng(42)
 _FACTORS, _TERMS = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_hashes: dict[bytes, int] = {}
+_BASE = 0xD6E8FEB86659FD93
+_POWERS, _INVERSES = (np.multiply.accumulate(np.array([1] + [x] * (_AT_ONCE + _SHORT), np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,21 +52,33 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word(word: bytes) -> int:
-    found = _hashes.get(word)
-    if found is None:
-        found = xxhash.xxh64_intdigest(word)
-        if len(word) <= _LONG:
-            if len(_hashes) >= _WORDS:
-                _hashes.clear()
-            _hashes[word] = found
-    return found
+def _words(tokens: list[bytes]) -> np.ndarray:
+    """The hash of each word: differences of one running sum of bytes times powers, so no word is looked at alone."""
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if tokens else lengths
+    data = np.frombuffer(b" ".join(tokens), np.uint8)
+    out = np.empty(len(tokens), np.uint64)
+    short = np.flatnonzero(lengths <= _SHORT)
+    for i in np.flatnonzero(lengths > _SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(tokens[i])
+    begins, ends = starts[short], starts[short] + lengths[short]
+    at = 0
+    while at < len(short):
+        low = int(begins[at])
+        to = int(np.searchsorted(begins, low + _AT_ONCE))
+        part = data[low : int(ends[to - 1])]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)], out=sums[1:])
+        b, e = begins[at:to] - low, ends[at:to] - low
+        out[short[at:to]] = (sums[e] - sums[b]) * _INVERSES[b]
+        at = to
+    return out
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a whole text's shingles; a text of fewer words is one shingle."""
     tokens = text.lower().split()
-    hashes = np.array([_word(t) for t in tokens], np.uint64)
+    hashes = _words(tokens)
     total = max(len(tokens) - words + 1, 1)
     found = np.full(total, min(len(tokens), words), np.uint64)
     for i in range(min(len(tokens), words)):
@@ -100,14 +113,16 @@ def sketch(text: Column, words: int = 5) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
             out = np.empty((len(a), BANDS + 2), np.uint64)
+            low = np.empty((len(a), BANDS, ROWS), np.uint64)
             for i, t in enumerate(raw(a)):
                 own = shingles(t, words)
                 out[i, 0] = xxhash.xxh64_intdigest(own.tobytes())
                 out[i, 1] = majority(own)
-                key = np.arange(BANDS, dtype=np.uint64)
-                for part in minima(own).astype(np.uint64).reshape(BANDS, ROWS).T:
-                    key = _mixed(key * _STEP + part)
-                out[i, 2:] = key
+                low[i] = minima(own).reshape(BANDS, ROWS)
+            key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(a), 1))
+            for part in range(ROWS):
+                key = _mixed(key * _STEP + low[:, :, part])
+            out[:, 2:] = key
             offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * np.int32(BANDS + 2))
             yield pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1).view(np.int64)))
 
