@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from assetloom.llm import attribution
-from assetloom.llm.bpe import OffsetTable, backtracking, decoded, digests, encoded
+from assetloom.llm.bpe import BacktrackingBPE, OffsetTable, backtracking, decoded, digests, encoded
 from assetloom.llm.packing import SumOfSquares, pack, pack_documents
 from assetloom.llm.wordcode import WordCoder, default_path, library, library_coder, library_words
 
@@ -104,6 +104,23 @@ def test_packing_is_whole_and_tight(odd, none):
     assert pack_documents(none).count() == 0
 
 
+def test_keys_of_any_type_are_packed(spark):
+    df = spark.createDataFrame([("", "one two"), (None, "three"), ("a", None), ("", ""), ("b", "four " * 3000)], "doc_id string, text string")
+    pieces = pack_documents(df, slack=-1).collect()
+    assert sorted(str(p.doc_id) for p in pieces if p.piece == 0) == ["", "", "None", "a", "b"]
+
+
+def test_remembered_pairs_are_bounded(monkeypatch):
+    import assetloom.llm.bpe as module
+
+    own = BacktrackingBPE(default_path())
+    words = [b"packing", b"tokenizers", b"unbelievable", b"xxyyzz"]
+    before = own.code([w.decode() for w in words])
+    monkeypatch.setattr(module, "KEPT_PAIRS", 2)
+    own.compatible.clear()
+    assert own.code([w.decode() for w in words]) == before and len(own.compatible) <= 2
+
+
 def test_sum_of_squares_places_where_the_sum_is_smallest():
     rng, capacity = random.Random(5), 12
     rule, gaps = SumOfSquares(capacity), {}
@@ -133,9 +150,9 @@ def test_packing_comes_close_to_the_bound():
 
 
 def brute_sections(text, rule):
-    encoding, _ = attribution.encoder(attribution.default_path())
+    encoding, one_word, _ = attribution.encoder(attribution.default_path())
     data = text.encode()
-    tokens = [encoding.decode_single_token_bytes(i) for i in attribution.encode(encoding, text)]
+    tokens = [encoding.decode_single_token_bytes(i) for i in attribution.encode(encoding, one_word, text)]
     assert b"".join(tokens) == data
     lines = data.split(b"\n")
     lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
@@ -161,14 +178,14 @@ def test_section_tokens_match_brute_force(spark, rule):
 
 
 def test_long_blank_runs_are_coded_as_the_pattern_would():
-    encoding, _ = attribution.encoder(attribution.default_path())
+    encoding, one_word, _ = attribution.encoder(attribution.default_path())
     for run in (2_500, 4_000):
         for text in ("a" + " " * run + "b", "\n" * run, " " * run + "\nx", "a" + "\t" * run, "a" + " " * run + "b" + "\n" * run + " c"):
-            assert attribution.encode(encoding, text) == encoding.encode_ordinary(text)
+            assert attribution.encode(encoding, one_word, text) == encoding.encode_ordinary(text)
 
 
 def test_sections_of_odd_rows_add_up(odd, none):
-    encoding, _ = attribution.encoder(attribution.default_path())
+    encoding, one_word, _ = attribution.encoder(attribution.default_path())
     for r in odd.select("text", attribution.section_tokens(F.col("text")).alias("s")).collect():
-        assert sum(x.n_tokens for x in r.s) == len(attribution.encode(encoding, r.text or ""))
+        assert sum(x.n_tokens for x in r.s) == len(attribution.encode(encoding, one_word, r.text or ""))
     assert none.select(attribution.section_tokens(F.col("text"))).count() == 0
