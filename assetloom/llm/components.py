@@ -62,6 +62,12 @@ def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lows.select("u", F.col("m").alias("v")).unionByName(hung), lows
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u > v, are stars already: no node hangs on two others, or on one while others hang on it."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(None).cast("int").alias("up")))
+    return ends.groupBy("n").agg(F.count("up").alias("ups"), F.count("*").alias("ends")).filter("ups > 0 AND ends > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v: long) but the roots; root: the component's smallest node.
 
@@ -69,8 +75,8 @@ def components(edges: DataFrame) -> DataFrame:
     deleted when the next round's are written.
     """
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = written(now, "edges"), None
-    while True:
+    now = written(now, "edges")
+    while not _stars(now):
         large, lows = _large_star(now)
         between = written(large.distinct(), "edges")
         small, more = _small_star(between)
@@ -78,7 +84,4 @@ def components(edges: DataFrame) -> DataFrame:
         for old in (now, lows, between, more):
             dropped(old)
         now = after
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
