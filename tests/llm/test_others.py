@@ -389,6 +389,47 @@ def test_shards_are_runs_of_the_curve(odd, none):
     assert hilbert.hilbert_shards(none).count() == 0
 
 
+def curve_index(axes, bits):
+    """Skilling's transform on plain integers."""
+    x, n = list(axes), len(axes)
+    q = 1 << bits - 1
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & q - 1
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << bits - 1
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_the_whole_order_is_that_of_the_curve_over_quantiles(odd):
+    rows, bits = odd.collect(), 5
+    steps = []
+    for values in ([r.lang for r in rows], [r.source for r in rows]):
+        there = sorted(v.encode() for v in values if v is not None)
+        steps.append([0 if v is None else (there.index(v.encode()) << bits) // len(there) for v in values])
+    sizes = [len((r.text or "").encode()) + 1 for r in rows]
+    cuts = [sorted(sizes)[-(-i * len(sizes) // (1 << bits)) - 1] for i in range(1, 1 << bits)]
+    steps.append([sum(c < v for c in cuts) for v in sizes])
+    want = Counter((str(r.doc_id), size, curve_index(at, bits)) for r, size, at in zip(rows, sizes, zip(*steps, strict=True), strict=True))
+    found = hilbert.hilbert_shards(odd).collect()
+    assert Counter((str(r.doc_id), r.size, r.curve) for r in found) == want
+    ordered = sorted(found, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in ordered] == sorted(r.curve for r in found)
+    n = len(found)
+    assert [r.shard for r in ordered] == [place * 16 // n for place in range(n)]
+
+
 def test_shard_files_have_narrow_ranges(spark):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, "w" * rng.randint(1, 4000), rng.choice(["de", "en", "fr", "it"]), f"src{rng.randrange(20):02d}") for i in range(3000)], "doc_id long, text string, lang string, source string")
