@@ -9,9 +9,15 @@ which two sets share with a probability of their similarity: two of 0.8 share no
 probability (1 - 0.8 ** 6) ** 48, 5 in ten million; more similar ones miss each other more rarely.
 
 Proposals only propose.  Texts that are connected by them form a group, and the pairs of a group
-are compared on their full sets; those that reach the similarity are links.  A large group is cut
-into blocks, and each pair of blocks is a piece of work of its own, so no group needs one task.
-Texts with equal sets are one node.
+are compared on their full sets; those that reach the similarity are links.  Texts with equal sets
+are one node.
+
+A large group is cut into blocks, and each pair of blocks is a piece of work of its own, so no group
+needs one task.  Beyond ``PAIRED`` blocks, whose pairs would be too many, each block is first compared
+within itself, then the heads of the classes so found, in blocks again, as long as that halves them.
+What is left is compared by pairs of blocks: classes larger than a block have blocks of their own,
+which need no comparison with each other, and the other texts share blocks.  So a group of n copies
+of one text costs n / 256 blocks, and the pairs of blocks are only those between classes.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from .simhash import FOREST_NODES, keep_heads, links
 BANDS, ROWS = 48, 6
 #: Members of a block, and members from which minima are compared before sets.
 BLOCK, FEW = 256, 16
+#: Blocks of a group up to which all their pairs are dealt at once.
+PAIRED = 16
 #: Pairs whose share of equal minima is this far below the similarity are not compared: over six standard deviations.
 MARGIN = 0.15
 #: Binary logarithm of the bits of the filter that keeps texts without a partner out of the shuffle.
@@ -150,31 +158,53 @@ def _edges(forest: Forest) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in forest.edges()], ["u", "v"])
 
 
-def proposed(postings: DataFrame) -> DataFrame:
-    """Edges (u, v) of a tree over the nodes (fp) of each key (band) of ``postings``."""
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, fp, up) from (fp, bands): a posting for each band, up null; of a batch's nodes with one band all but the first are edges to it instead.
+
+    So a band that many nodes have sends one posting a batch to the task that meets it.
+    """
+    for b in batches:
+        if b.num_rows:
+            bands = np.asarray(b.column(1).flatten(), np.int64)
+            nodes = np.repeat(np.asarray(b.column(0), np.int64), BANDS)
+            _, first, group = np.unique(bands, return_index=True, return_inverse=True)
+            heads = first[group]
+            again = heads != np.arange(len(bands))
+            # An edge needs no meeting, so it goes anywhere: by its node.
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(again, nodes, bands)), pa.array(nodes), pa.array(nodes[heads], mask=~again)], ["band", "fp", "up"])
+
+
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the nodes (fp) of each key in common (bands) of ``nodes``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, band, node = Forest(), None, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            bands, nodes = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            if bands[0] == band:
-                forest.link(node, int(nodes[0]))
-            for i in np.flatnonzero(bands[1:] == bands[:-1]).tolist():
-                forest.link(int(nodes[i]), int(nodes[i + 1]))
-            band, node = bands[-1], int(nodes[-1])
+            bands, nodes, ups = (np.asarray(b.column(i).fill_null(0), np.int64) for i in range(3))
+            edge = np.asarray(b.column(2).is_valid())
+            for x, y in zip(nodes[edge].tolist(), ups[edge].tolist(), strict=True):
+                forest.link(x, y)
+            bands, nodes = bands[~edge], nodes[~edge]
+            if len(bands):
+                if bands[0] == band:
+                    forest.link(node, int(nodes[0]))
+                for i in np.flatnonzero(bands[1:] == bands[:-1]).tolist():
+                    forest.link(int(nodes[i]), int(nodes[i + 1]))
+                band, node = bands[-1], int(nodes[-1])
             if len(forest.parent) > FOREST_NODES:
                 yield _edges(forest)
                 forest = Forest()
         yield _edges(forest)
 
-    return postings.select("band", "fp").repartition("band").sortWithinPartitions("band").mapInArrow(meet, "u long, v long")
+    postings = nodes.select("fp", "bands").mapInArrow(_posted, "band long, fp long, up long")
+    return postings.repartition("band").sortWithinPartitions("band").mapInArrow(meet, "u long, v long")
 
 
 def compare(left: dict[int, np.ndarray], right: dict[int, np.ndarray] | None, similarity: float, forest: Forest) -> None:
     """Link the nodes of two blocks (or of one: ``right`` None), given with their sets, that reach the similarity."""
     others = left if right is None else right
+    if not others:
+        return
     nodes, sets = list(others), list(others.values())
     sizes = np.array([len(s) for s in sets])
     many = len(left) + len(others) > 2 * FEW
@@ -198,7 +228,7 @@ def compare(left: dict[int, np.ndarray], right: dict[int, np.ndarray] | None, si
 def verified(dealt: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges (u, v) between nodes of a group that reach the similarity and connect all that do.
 
-    ``dealt``: (root, one, two, side, fp, text), a row for each block pair (one, two) that a node is in; side tells its block.
+    ``dealt``: (root, one, two, side, fp, text), a row for each pair of blocks (one, two) that a node is in; side tells its block.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +253,73 @@ def verified(dealt: DataFrame, words: int, similarity: float) -> DataFrame:
     return dealt.select(*keys, "side", "fp", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long")
 
 
+def _within(texts: DataFrame) -> DataFrame:
+    """``texts`` (root, blocks, fp, text) dealt so that each block of a group is compared within itself."""
+    own = F.pmod("fp", "blocks")
+    return texts.select("root", own.alias("one"), own.alias("two"), F.lit(0).alias("side"), "fp", "text")
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    """``texts`` (root, blocks, fp, text) dealt by all pairs of blocks of a group, a block with itself included."""
+    own, other = F.pmod("fp", "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    both = texts.select("root", "fp", "text", own.alias("own"), other.alias("other"))
+    return both.select("root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "text")
+
+
+def _between(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``texts`` (root, fp, text) of groups dealt by pairs of blocks, but for those within one class of ``labels`` (fp, class).
+
+    A unit is a class of more than ``BLOCK`` nodes, or what else the group has (unit 0, shared).
+    """
+    labels = labels.select("root", "fp", "class")
+    sizes = labels.groupBy("root", "class").count().filter(F.col("count") > BLOCK).select("root", "class", F.lit(True).alias("own"))
+    of = labels.join(sizes, ["root", "class"], "left").select("root", "fp", (~F.coalesce("own", F.lit(False))).alias("shared"), F.when(F.col("own"), F.col("class")).otherwise(F.lit(0)).alias("unit"))
+    of = written(of, "similar-units")
+    units = of.groupBy("root", "shared", "unit").count().select("root", "shared", "unit", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    units = written(units, "similar-unit-sizes")
+    a, b = units.alias("a"), units.alias("b")
+    place = lambda t: F.struct(f"{t}.shared", f"{t}.unit")
+    met = a.join(b, "root").filter((place("a") < place("b")) | (F.col("a.shared") & F.col("b.shared")))
+    met = written(met.select("root", *[F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("shared", "unit", "blocks")]), "similar-unit-pairs")
+    placed = texts.select("fp", "text").join(of, "fp").withColumnsRenamed({"shared": "s", "unit": "c"})
+    block = lambda t, n: F.struct(F.col(f"shared_{t}").alias("shared"), F.col(f"unit_{t}").alias("unit"), n.alias("n"))
+    out = None
+    for mine, other, side in (("a", "b", 0), ("b", "a", 1)):
+        here = placed.join(met.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & (F.col("s") == F.col(f"shared_{mine}")) & (F.col("c") == F.col(f"unit_{mine}")))
+        here = here.withColumn("n", F.pmod("fp", f"blocks_{mine}")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"blocks_{other}") - 1)))
+        # A unit's blocks meet each other once, and each itself once.
+        alike = F.col("shared_a") & F.col("shared_b")
+        here = here.filter(~alike | (F.col("n") <= F.col("m") if side == 0 else F.col("n") > F.col("m")))
+        one, two = (("n", "m") if side == 0 else ("m", "n"))
+        here = here.select("root", block("a", F.col(one)).alias("one"), block("b", F.col(two)).alias("two"), F.lit(side).alias("side"), "fp", "text")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def _classes(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, fp, class) for each of ``members`` (root, fp): the smallest node that ``edges`` connect it with."""
+    roots = components(edges).withColumnRenamed("root", "class")
+    return written(members.join(roots, F.col("fp") == F.col("node"), "left").select("root", "fp", F.coalesce("class", "fp").alias("class")), "similar-classes")
+
+
+def large_groups(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect what reaches the similarity in groups of many blocks: ``members`` (root, fp), with ``texts`` (root, blocks, fp, text)."""
+    edges = written(verified(_within(texts), words, similarity), "similar-edges")
+    labels, before = _classes(members, edges), members.count()
+    while True:
+        sizes = labels.filter("class = fp").groupBy("root").count()
+        sizes = written(sizes.select(F.col("root").alias("r"), F.col("count").alias("n"), F.ceil(F.col("count") / BLOCK).alias("b")), "similar-heads")
+        now = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if sizes.filter("n > 1").isEmpty():
+            return edges  # every group is one class
+        if 2 * now > before:
+            return edges.unionByName(written(verified(_between(texts, labels), words, similarity), "similar-edges"))
+        heads = labels.filter("class = fp").select("fp").join(texts.select("root", "fp", "text"), "fp")
+        heads = heads.join(sizes, F.col("root") == F.col("r")).select("root", F.col("b").alias("blocks"), "fp", "text")
+        edges = edges.unionByName(written(verified(_within(heads), words, similarity), "similar-edges"))
+        labels, before = _classes(members, edges), now
+
+
 def indexed(nodes: DataFrame, bits: int) -> DataFrame:
     """Edges (u, v) between nodes (fp) whose fingerprints (sim) the byte-position index links, and a tree over nodes of one fingerprint."""
     first = written(nodes.groupBy("sim").agg(F.min("fp").alias("first")), "similar-sims")
@@ -247,20 +344,24 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     slim = written(slim.select("key", "row_hash", F.col("s")[0].alias("fp"), F.col("s")[1].alias("sim"), F.slice("s", 3, BANDS).alias("bands")), "similar")
     nodes = slim.groupBy("fp").agg(F.min(F.struct("key", "row_hash", "sim", "bands")).alias("h"))
     nodes = written(nodes.select("fp", "h.*"), "similar-nodes")
-    rough = components(proposed(nodes.select("fp", F.explode("bands").alias("band"))).unionByName(indexed(nodes, bits)))
+    rough = components(proposed(nodes).unionByName(indexed(nodes, bits)))
     members = written(rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct()), "similar-members")
-    large = written(members.groupBy("root").count().filter(F.col("count") > BLOCK).select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "similar-large")
-    members = members.join(large, "root", "left").select(F.col("node").alias("fp"), "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    large = written(members.groupBy("root").count().filter(F.col("count") > BLOCK).select("root", F.ceil(F.col("count") / BLOCK).alias("blocks")), "similar-large")
+    members = members.join(large, "root", "left").select(F.col("node").alias("fp"), "root", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
     members = written(members.join(nodes.select("fp", "key", "row_hash"), "fp"), "similar-rows")
     h, k = (fresh(df, x) for x in ("_h", "_k"))
-    rows = members.withColumnsRenamed({"row_hash": h, "key": k})
     whole = df.select(col(key).alias("key"), row.alias("row_hash"), col(text).cast("binary").alias("text"))
-    whole = whole.filter(among(members, F.col("row_hash")))
-    found = whole.join(rows, (F.col("row_hash") == F.col(h)) & F.col("key").eqNullSafe(F.col(k))).select("root", "blocks", "fp", "text")
-    own = F.pmod("fp", "blocks").cast("int")
-    pairs = found.select("root", "fp", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = pairs.select("root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "text")
-    roots = components(verified(dealt, words, similarity))
+
+    def texts(which: DataFrame) -> DataFrame:
+        rows = which.withColumnsRenamed({"row_hash": h, "key": k})
+        held = whole.filter(among(which, F.col("row_hash")))
+        return held.join(rows, (F.col("row_hash") == F.col(h)) & F.col("key").eqNullSafe(F.col(k))).select("root", "blocks", "fp", "text")
+
+    edges = verified(_pairs(texts(members.filter(F.col("blocks") <= PAIRED))), words, similarity)
+    if not large.filter(F.col("blocks") > PAIRED).isEmpty():
+        most = members.filter(F.col("blocks") > PAIRED)
+        edges = edges.unionByName(large_groups(most.select("root", "fp"), written(texts(most), "similar-texts"), words, similarity))
+    roots = components(edges)
     labels = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("component")), "similar-labels")
     return slim.select("key", "row_hash", "fp").join(labels, "fp").select("key", "row_hash", "component")
 

@@ -132,9 +132,10 @@ def brute_components(texts, words=5, similarity=0.8):
     return label
 
 
-@pytest.mark.parametrize("block", [512, 5])
-def test_near_stage_links_at_five_word_similarity(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "paired"), [(512, 16), (5, 16), (5, 1)])
+def test_near_stage_links_at_five_word_similarity(spark, monkeypatch, block, paired):
     monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "PAIRED", paired)
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
     texts = []
@@ -152,3 +153,47 @@ def test_near_stage_links_at_five_word_similarity(spark, monkeypatch, block):
     left = corpus_pipeline.near_stage(spark, docs, "")
     assert sorted(r.doc_id for r in left.collect()) == sorted({c: i for i, c in reversed(list(enumerate(label)))}.values())
     assert 12 < len(texts) - len(set(label)) < 50
+
+
+def test_large_groups_give_the_links_of_all_pairs(spark, monkeypatch):
+    """Two classes larger than a block, a chain and single texts in one group; and no pair of blocks of one class is compared."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    texts = []
+    for _ in range(2):
+        own = list(rng.choice(words, 120))
+        texts += [" ".join([*own[:at], f"x{at}", *own[at + 1 :]]) for at in range(0, 120, 3)]
+    chain = list(rng.choice(words, 100))
+    for at in range(0, 60, 4):
+        chain[at] = f"y{at}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(rng.choice(words, 50)) for _ in range(20)]
+    label = brute_components(texts)
+    node = [(i + 1) * 0x9E3779B97F4A7C15 % (1 << 63) for i in range(len(texts))]
+    rows = spark.createDataFrame([(1, -(-len(texts) // 8), f, t.encode()) for f, t in zip(node, texts, strict=True)], "root long, blocks long, fp long, text binary")
+    dealt = []
+    between = similar._between
+
+    def kept(*a):
+        dealt.append(between(*a))
+        return dealt[-1]
+
+    monkeypatch.setattr(similar, "_between", kept)
+    found = similar.components(similar.large_groups(rows.select("root", "fp"), rows, 5, 0.8))
+    roots = {r.node: r.root for r in found.collect()}
+    pairs = {(roots.get(f, f), c) for f, c in zip(node, label, strict=True)}
+    assert len(pairs) == len({r for r, _ in pairs}) == len(set(label))
+    assert sum(label.count(c) > 8 for c in set(label)) >= 2
+    pieces = dealt[0].select("one", "two").distinct().collect()
+    assert pieces and not [p for p in pieces if p.one.unit == p.two.unit and not p.one.shared and not p.two.shared]
+
+
+def test_a_common_key_sends_one_posting_a_batch(spark):
+    bands = np.arange(40 * similar.BANDS, dtype=np.int64).reshape(40, -1) + 1000
+    bands[:30, 3] = 7
+    rows = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(bands)], "fp long, bands array<long>").coalesce(1)
+    posted = rows.mapInArrow(similar._posted, "band long, fp long, up long")
+    assert posted.filter("band = 7 AND up IS NULL").count() == 1 and posted.filter("up IS NOT NULL").count() == 29
+    linked = similar.components(similar.proposed(rows.repartition(4)))
+    assert {(r.node, r.root) for r in linked.collect()} == {(i, 0) for i in range(1, 30)}
